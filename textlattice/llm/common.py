@@ -112,19 +112,33 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-class ByteHash:
-    """Hashes of any byte ranges of one block: a polynomial over random byte values, modulo 2**64."""
+class RollHash:
+    """Hashes of any ranges of one sequence of 64-bit values: a polynomial modulo 2**64."""
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = _BYTE):
-        n = len(data)
+    def __init__(self, values: np.ndarray):
+        n = len(values)
         up, self.down = powers(n + 1)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data] * up[:n], out=self.prefix[1:])
+        np.cumsum(values * up[:n], out=self.prefix[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         length = (end - start).astype(np.uint64)
         return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + length * U64(0xD6E8FEB86659FD93))
 
+    def all_of(self, length: int) -> np.ndarray:
+        """The hash of the range of that length at each start."""
+        n = len(self.prefix) - length
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        return mix((self.prefix[length:] - self.prefix[:n]) * self.down[:n] + U64(length * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+
+
+class ByteHash(RollHash):
+    """Hashes of any byte ranges of one block, over random values for the bytes."""
+
+    def __init__(self, data: np.ndarray):
+        super().__init__(_BYTE[data])
+
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word ``[^\\x20\\x09-\\x0D]+``, and per document the first word's index (n + 1 values).
