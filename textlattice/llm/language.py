@@ -155,3 +155,28 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return rows.mapInArrow(run, SCHEMA)
+
+
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text is in a learned language; those that ``identify`` calls ``und`` go.
+
+    If no language was learned, nothing can be told and every row with a letter stays.
+    """
+    names, logs = model
+    shared = docs.sparkSession.sparkContext.broadcast(logs)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            for i, j, data, offsets in blocks(batch.column(at)):
+                letter = per_range(_ASCII_LETTER[data], offsets) > 0
+                for d in np.flatnonzero(~letter & (per_range(data >= 128, offsets) > 0)):
+                    letter[d] = bool(_LETTER.search(strings(batch.column(at).slice(i + d, 1))[0]))
+                if names:
+                    final, chosen = infer(shared.value, data, offsets)
+                    letter &= chosen.any(1) & np.isfinite(final).all(1)
+                keep.append(letter)
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)

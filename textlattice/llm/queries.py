@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fmindex, language, minhash, packing, pii, quality, sharding, suffixes, toxicity
+from . import decontamination, fmindex, language, minhash, packing, pii, quality, sharding, sql, suffixes, toxicity
 from .common import crc_remainder, table
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_near_duplicates": sql.NEAR_DUPLICATES, "op4_substring_dedup": sql.SUBSTRING_DEDUP, "op6_suffix_dedup": sql.SUFFIX_DEDUP}
