@@ -12,8 +12,8 @@ WITH RECURSIVE words AS (
 links AS (
   SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL)
   JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)
-), both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(a, b) AS (SELECT a, b FROM both UNION SELECT r.a, l.b FROM reach r JOIN both l ON r.b = l.a),
+), two AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM two UNION SELECT r.a, l.b FROM reach r JOIN two l ON r.b = l.a),
 least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id))::BIGINT AS component_id, d.doc_id <= coalesce(m, d.doc_id) AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = d.doc_id
@@ -33,7 +33,11 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 
 SUFFIX_DEDUP = r"""
 WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-places AS (SELECT doc_id, i, substr(x, 2 * i - 1, 2) AS b, CASE WHEN 2 * (i + 49) <= length(x) THEN md5(substr(x, 2 * i - 1, 100)) END AS h FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 + 1)) AS i FROM bytes)),
+pieces AS (SELECT doc_id, length(x) // 2 AS n, 200 * k AS base, substr(x, 400 * k + 1, 498) AS y FROM (SELECT doc_id, x, unnest(range(0, (length(x) // 2 + 199) // 200)) AS k FROM bytes)),
+places AS (
+  SELECT doc_id, base + j AS i, substr(y, 2 * j - 1, 2) AS b, CASE WHEN base + j + 49 <= n THEN md5(substr(y, 2 * j - 1, 100)) END AS h
+  FROM (SELECT *, unnest(range(1, least(200, n - base) + 1)) AS j FROM pieces)
+),
 owners AS (SELECT h, min(doc_id) AS o FROM places WHERE h IS NOT NULL GROUP BY h),
 hits AS (SELECT doc_id, i, b, coalesce(o < doc_id, false) AS hit FROM places LEFT JOIN owners USING (h)),
 flags AS (SELECT doc_id, i, b, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM hits),
