@@ -7,14 +7,13 @@ them. Consecutive passages with one anchor form a run; a run's units are its con
 1. Documents are dealt into chunks by a hash. Each scan task sends the distinct (anchor, chunk) pairs it
    saw, eight bytes each, to the anchor's bucket. A very common anchor is one pair a chunk.
 2. A bucket tells each chunk which of its anchors other chunks hold too.
-3. A chunk keeps the runs whose anchor occurs in another chunk or another of its own documents. Documents
-   without such runs are done. Distinct contexts go to the anchor's bucket with the smallest and largest
-   id in the chunk that has them.
+3. A chunk keeps the runs whose anchor occurs in another chunk or another of its own documents. Their
+   distinct contexts go to the anchor's bucket with the smallest and largest id in the chunk that has them.
 4. A bucket finds, for each passage of each context, the smallest document id (its resolver's job: a merge of sorted
    suffix runs, or an FM-index), and answers each chunk.
 5. A chunk removes the units of passages that a document with a smaller id holds.
 
-Steps 1 and 3 read all documents; steps 2 and 4 read only what they are sent. Nothing is sampled or capped, and
+Steps 1, 3 and 5 read all documents, the last two from one exchange; steps 2 and 4 read only what they are sent. Nothing is sampled or capped, and
 no exchange has a key whose rows grow with a group of copies: contexts are distinct within a chunk before they are sent.
 """
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ByteHash, RollHash, _BYTE, blocks, checkpointed, owner, slim, text_buffers, word_spans
+from .common import U64, ByteHash, RollHash, _BYTE, blocks, owner, per_range, slim, word_spans
 
 LENGTH = 50
 #: Anchors kept in a task before they are sent on: 24 MB.
@@ -179,42 +178,56 @@ def kept_text(method: Method, data: np.ndarray, units: Units, removed: np.ndarra
     return out
 
 
-FIRST = "kind int, part int, chunk int, doc_id bigint, n_units bigint, sha string, text string, blob binary"
 RESULT = "doc_id bigint, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 WITH_TEXT = RESULT + ", kept string"
 
 
+@dataclass
+class Found:
+    """Runs of all documents of a chunk, places counted over the whole chunk."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    anchor: np.ndarray
+    key: np.ndarray
+    context: np.ndarray
+
+
 def remove_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """One row a document: units, removed units, maximal removed runs, digest of what stays (``with_text``: and that itself).
 
-    The exchange's two intermediate tables go to the shared checkpoint folder. A null id counts as larger than all others.
+    A null id counts as larger than all others. All five steps are one plan; both passes over the chunks read one exchange.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = min(buckets, 1 << 20)
-    rows = slim(docs, id_col, text_col).toDF("doc_id", "text").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+    # One label for each partition of an exchange, so that no two chunks or buckets share one by accident.
+    labels = even_labels(spark, n)
+    place = {int(x): i for i, x in enumerate(labels)}
+    rows = slim(docs, id_col, text_col).toDF("doc_id", "text")
+    rows = rows.select(F.element_at(F.lit(labels), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int") + 1).alias("chunk"), "doc_id", "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, count = [], 0
 
         def out():
             v = np.unique(np.concatenate(held))
-            bucket = ((v >> U64(20)) % U64(buckets)).astype(np.int32)
+            bucket = ((v >> U64(20)) % U64(n)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            v, cuts = v[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            v, cuts = v[order], np.searchsorted(bucket[order], np.arange(n + 1))
             some = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([v[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary())], names=["bucket", "pairs"])
+            return pa.RecordBatch.from_arrays([pa.array([labels[b] for b in some], pa.int32()), pa.array([v[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary())], names=["bucket", "pairs"])
 
         for batch in batches:
-            chunk = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            chunk = np.array([place[x] for x in batch.column(0).to_pylist()], np.uint64)
             for i, _, data, offsets in blocks(batch.column(1)):
                 runs = runs_of(method.units(data, offsets), method.gram, length)
                 held.append(np.unique((runs.key & ~_LOW) | chunk[i + runs.doc]))
-                n += len(held[-1])
-                if n >= HELD:
+                count += len(held[-1])
+                if count >= HELD:
                     yield out()
-                    held, n = [], 0
-        if n:
+                    held, count = [], 0
+        if count:
             yield out()
 
     def shared(group: pa.Table) -> pa.Table:
@@ -226,75 +239,54 @@ def remove_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str,
         v = v[both]
         chunk = (v & _LOW).astype(np.int64)
         order = np.argsort(chunk, kind="stable")
-        v, cuts = v[order] & ~_LOW, np.searchsorted(chunk[order], np.arange(chunks + 1))
+        v, cuts = v[order] & ~_LOW, np.searchsorted(chunk[order], np.arange(n + 1))
         some = np.flatnonzero(np.diff(cuts))
-        return pa.table({"chunk": pa.array(some, pa.int32()), "keys": pa.array([v[cuts[c] : cuts[c + 1]].tobytes() for c in some], pa.binary())})
+        return pa.table({"chunk": pa.array([labels[c] for c in some], pa.int32()), "keys": pa.array([v[cuts[c] : cuts[c + 1]].tobytes() for c in some], pa.binary())})
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-        text, ids = _combine(left.column("text")), left.column("doc_id").to_pylist()
-        number = np.array([NO_ID if x is None else x for x in ids], np.int64)
-        chunk = left.column("chunk")[0].as_py() if len(left) else 0
-        parts, symbols, counts, shift = [], [], [], 0
-        for i, j, data, offsets in blocks(text):
+        names, kinds = ["part", "chunk", "blob"], [pa.int32(), pa.int32(), pa.binary()]
+        text, number = _combine(left.column("text")), _numbers(left.column("doc_id"))
+        parts, symbols, shift = [], [], 0
+        for i, _, data, offsets in blocks(text):
             units = method.units(data, offsets)
-            runs = runs_of(units, method.gram, length)
-            base = units.first[:-1]
-            parts.append((runs.doc + i, runs.start + shift, runs.end + shift, runs.anchor + shift, runs.key & ~_LOW, runs.context, runs.start - base[runs.doc]))
+            r = runs_of(units, method.gram, length)
+            parts.append((r.doc + i, r.start + shift, r.end + shift, r.anchor + shift, r.key & ~_LOW, r.context))
             symbols.append(units.symbols)
-            counts.append(np.diff(units.first))
             shift += len(units.symbols)
-        if not parts:
-            return pa.Table.from_batches([], pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int32()), ("doc_id", pa.int64()), ("n_units", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("blob", pa.binary())]))
-        doc, start, end, anchor, key, context, local = (np.concatenate(p) for p in zip(*parts, strict=True))
-        symbols, counts = np.concatenate(symbols), np.concatenate(counts)
-        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("keys").to_pylist())]))
-        at = np.searchsorted(known, key)
-        hit = np.zeros(len(key), bool)
-        if len(known):
-            hit = known[np.minimum(at, len(known) - 1)] == key
-        # anchors in several documents of this chunk
-        order = np.argsort(key, kind="stable")
-        k, d = key[order], doc[order]
-        heads = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        if len(heads):
-            several = np.maximum.reduceat(d, heads) != np.minimum.reduceat(d, heads)
-            hit[order] |= np.repeat(several, np.diff(np.append(heads, len(k))))
-        sel = np.flatnonzero(hit)
-        del order, k, d
-        doc, start, end, anchor, key, context, local = (x[sel] for x in (doc, start, end, anchor, key, context, local))
-        mine = number[doc]
-        order = np.argsort(context, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], context[order][1:] != context[order][:-1]])) if len(sel) else np.zeros(0, np.int64)
-        out = []
-        if len(heads):
-            least, most = np.minimum.reduceat(mine[order], heads), np.maximum.reduceat(mine[order], heads)
-            one = order[heads]
-            bucket = ((key[one] >> U64(20)) % U64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            one, least, most, cuts = one[by], least[by], most[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                r = slice(cuts[b], cuts[b + 1])
-                o = one[r]
-                size = end[o] - start[o]
-                out.append((1, int(b), int(chunk), None, None, None, None, method.encode(Contexts(context[o], key[o], least[r], most[r], anchor[o] - start[o], size, gather(symbols, start[o], size)))))
-        cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
-        for i, t in enumerate(text.to_pylist()):
-            a, b = cuts[i], cuts[i + 1]
-            if a == b:
-                out.append((0, 0, int(chunk), ids[i], int(counts[i]), None, t, None))
-            else:
-                out.append((2, 0, int(chunk), ids[i], int(counts[i]), None, t, pack(local[a:b], context[a:b])))
-        # documents that are done keep only their digest
-        done = [i for i, r in enumerate(out) if r[0] == 0]
-        for i0 in range(0, len(done), 256):
-            some = done[i0 : i0 + 256]
-            data, offsets = text_buffers(pa.array([out[i][6] for i in some], pa.string()))
-            units = method.units(data, offsets)
-            for i, kept in zip(some, kept_text(method, data, units, np.zeros(len(units.values), bool)), strict=True):
-                out[i] = (*out[i][:5], hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, None)
-        columns = list(zip(*out, strict=True))
-        kinds = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.binary()]
-        return pa.table({n.split()[0]: pa.array(c, t) for n, c, t in zip(FIRST.split(", "), columns, kinds, strict=True)})
+        out: list[tuple] = []
+        if parts:
+            f = Found(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+            symbols = np.concatenate(symbols)
+            known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("keys").to_pylist())]))
+            hit = np.zeros(len(f.key), bool)
+            if len(known):
+                hit = known[np.minimum(np.searchsorted(known, f.key), len(known) - 1)] == f.key
+            # anchors in several documents of this chunk
+            order = np.argsort(f.key, kind="stable")
+            heads = _heads(f.key[order])
+            if len(heads):
+                d = f.doc[order]
+                several = np.maximum.reduceat(d, heads) != np.minimum.reduceat(d, heads)
+                hit[order] |= np.repeat(several, np.diff(np.append(heads, len(d))))
+            sel = np.flatnonzero(hit)
+            f = Found(f.doc[sel], f.start[sel], f.end[sel], f.anchor[sel], f.key[sel], f.context[sel])
+            mine = number[f.doc]
+            order = np.argsort(f.context, kind="stable")
+            heads = _heads(f.context[order])
+            if len(heads):
+                least, most = np.minimum.reduceat(mine[order], heads), np.maximum.reduceat(mine[order], heads)
+                one = order[heads]
+                bucket = ((f.key[one] >> U64(20)) % U64(n)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                one, least, most, cuts = one[by], least[by], most[by], np.searchsorted(bucket[by], np.arange(n + 1))
+                chunk = place[left.column("chunk")[0].as_py()]
+                for b in np.flatnonzero(np.diff(cuts)):
+                    part = slice(cuts[b], cuts[b + 1])
+                    o = one[part]
+                    size = f.end[o] - f.start[o]
+                    out.append((labels[b], chunk, method.encode(Contexts(f.context[o], f.key[o], least[part], most[part], f.anchor[o] - f.start[o], size, gather(symbols, f.start[o], size)))))
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(names, columns, kinds, strict=True)})
 
     def resolve(group: pa.Table) -> pa.Table:
         chunk, context, lo, hi, least = method.resolve(list(zip(group.column("chunk").to_pylist(), group.column("blob").to_pylist(), strict=True)))
@@ -302,53 +294,62 @@ def remove_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str,
         chunk, context, lo, hi, least = chunk[order], context[order], lo[order], hi[order], least[order]
         some, cuts = np.unique(chunk, return_index=True)
         cuts = np.append(cuts, len(chunk))
-        return pa.table({"chunk": pa.array(some, pa.int32()), "answer": pa.array([pack(context[a:b], lo[a:b].astype(np.int16), hi[a:b].astype(np.int16), least[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        return pa.table({"chunk": pa.array([labels[c] for c in some], pa.int32()), "answer": pa.array([pack(context[a:b], lo[a:b].astype(np.int16), hi[a:b].astype(np.int16), least[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = [unpack(x) for x in right.column("answer").to_pylist()]
         context, lo, hi, least = (np.concatenate(x) for x in zip(*answers, strict=True)) if answers else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
         order = np.argsort(context, kind="stable")
         context, lo, hi, least = context[order], lo[order].astype(np.int64), hi[order].astype(np.int64), least[order]
-        ids, blobs, out = left.column("doc_id").to_pylist(), left.column("blob").to_pylist(), []
-        for i, j, data, offsets in blocks(_combine(left.column("text"))):
+        ids, number, out = left.column("doc_id").to_pylist(), _numbers(left.column("doc_id")), []
+        for i, _, data, offsets in blocks(_combine(left.column("text"))):
             units = method.units(data, offsets)
-            start, ctx, own = [], [], []
-            for d in range(i, j):
-                s, c = unpack(blobs[d])
-                start.append(s + units.first[d - i])
-                ctx.append(c)
-                own.append(np.full(len(s), NO_ID if ids[d] is None else ids[d], np.int64))
-            start, ctx, own = np.concatenate(start), np.concatenate(ctx), np.concatenate(own)
-            a, b = np.searchsorted(context, ctx, "left"), np.searchsorted(context, ctx, "right")
-            piece, run = gather(np.arange(len(context)), a, b - a), np.repeat(np.arange(len(ctx)), b - a)
-            smaller = least[piece] < own[run]
+            r = runs_of(units, method.gram, length)
+            a, b = np.searchsorted(context, r.context, "left"), np.searchsorted(context, r.context, "right")
+            piece, run = gather(np.arange(len(context)), a, b - a), np.repeat(np.arange(len(a)), b - a)
+            smaller = least[piece] < number[i + r.doc[run]]
             piece, run = piece[smaller], run[smaller]
             cover = np.zeros(len(units.values) + 1, np.int64)
-            np.add.at(cover, start[run] + lo[piece], 1)
-            np.add.at(cover, start[run] + hi[piece] - 1 + length, -1)
+            np.add.at(cover, r.start[run] + lo[piece], 1)
+            np.add.at(cover, r.start[run] + hi[piece] - 1 + length, -1)
             removed = np.cumsum(cover[:-1]) > 0
             head = removed.copy()
             head[1:] &= ~removed[:-1]
             edge = units.first[:-1][np.diff(units.first) > 0]
             head[edge] = removed[edge]
+            gone, runs = per_range(removed, units.first), per_range(head, units.first)
             for d, kept in enumerate(kept_text(method, data, units, removed)):
-                u, v = units.first[d], units.first[d + 1]
-                row = (ids[i + d], int(v - u), int(removed[u:v].sum()), int(head[u:v].sum()), hashlib.sha256(kept).hexdigest())
+                row = (ids[i + d], int(units.first[d + 1] - units.first[d]), int(gone[d]), int(runs[d]), hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept.decode("utf-8", "replace")) if with_text else row)
         names = [c.split()[0] for c in (WITH_TEXT if with_text else RESULT).split(", ")]
         kinds = [pa.int64()] * 4 + [pa.string()] * (2 if with_text else 1)
         columns = list(zip(*out, strict=True)) or [[]] * len(names)
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, kinds, strict=True)})
-
-    pairs = rows.select("chunk", "text").mapInArrow(anchors, "bucket int, pairs binary")
-    keys = pairs.groupBy("bucket").applyInArrow(shared, "chunk int, keys binary")
-    first = checkpointed(rows.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(contexts, FIRST), "contexts")
-    answers = first.where("kind = 1").select("part", "chunk", "blob").groupBy("part").applyInArrow(resolve, "chunk int, answer binary")
-    pending = first.where("kind = 2").select("chunk", "doc_id", "text", "blob")
-    changed = pending.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(remove, WITH_TEXT if with_text else RESULT)
-    zero = F.lit(0).cast("bigint")
-    done = first.where("kind = 0").select("doc_id", "n_units", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), *([F.col("text").alias("kept")] if with_text else []))
-    return done.unionByName(changed)
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(names, columns, kinds, strict=True)})
+
+    keys = rows.select("chunk", "text").mapInArrow(anchors, "bucket int, pairs binary").groupBy("bucket").applyInArrow(shared, "chunk int, keys binary")
+    asked = rows.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(contexts, "part int, chunk int, blob binary")
+    answers = asked.groupBy("part").applyInArrow(resolve, "chunk int, answer binary")
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(remove, WITH_TEXT if with_text else RESULT)
+
+
+def even_labels(spark, n: int) -> list[int]:
+    """n whole numbers that a hash exchange of n partitions deals to one partition each."""
+    found: dict[int, int] = {}
+    low, step = 0, 16 * n
+    while len(found) < n:
+        for r in spark.range(low, low + step).select(F.col("id").cast("int").alias("x"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("x").alias("x")).collect():
+            found.setdefault(r["p"], r["x"])
+        low, step = low + step, 2 * step
+    return [found[p] for p in range(n)]
+
+
+def _heads(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def _numbers(ids: pa.ChunkedArray) -> np.ndarray:
+    return np.array([NO_ID if x is None else x for x in ids.to_pylist()], np.int64)
 
 
 def constant_pieces(least: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
