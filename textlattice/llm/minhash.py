@@ -4,10 +4,11 @@ Under each permutation of the shingles both the smallest and the largest value a
 values takes k hash evaluations a shingle. Bands of the signature propose links; links are confirmed on
 the full shingle sets; linked documents form components.
 
-Documents of equal sets are one class from the start. Within a band's bucket no pairs are listed: in the first
-round each class is compared with one centre; then, in buckets that still hold several components, with one centre
-of each of 8, 64, 512 ... groups, across components only, until every bucket is one component or all of its
-pairs across components have been compared. So no proposed link is lost, however large a bucket is.
+Documents of equal sets are one class from the start. Classes that share a bucket, directly or through others,
+are a family; only stars to a bucket's smallest id are needed to find families, no pairs. A family is split into blocks of a
+bounded size. Full sets are compared within each block, and between the blocks of families that are not yet one
+component; a comparison puts out a spanning forest of its links. So no proposed link is lost, and no task or row count
+follows the size of a family.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, ByteHash, blocks, checkpointed, forget, mix, slim, word_spans
 
-#: 26 bands of 3 values: a pair of similarity 0.8 is missed with a probability of 1e-8.
-BANDS, ROWS = 26, 3
+#: 30 bands of 5 values: a pair of similarity 0.8 is in no common bucket with a probability of 7e-6, of 0.85 with 1e-8.
+BANDS, ROWS = 30, 5
+#: Documents in a block of a family; two blocks are compared at once.
+BLOCK = 512
 PERMUTATIONS = BANDS * ROWS // 2
 _A = np.random.default_rng(3).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U64(2) + U64(1)
 _B = np.random.default_rng(4).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -93,37 +96,21 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles) for rows that are known to have some."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = 0
-            for i, j, data, offsets in blocks(batch.column(1)):
-                sets, bounds = shingle_sets(data, offsets, size)
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["rep", "shingles"])
-                done = j
-            del done
-
-    return docs.mapInArrow(run, "rep bigint, shingles array<bigint>")
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rep, comp): the smallest node that each node reaches, by spreading minima and jumping to the label's label."""
+def components(edges: DataFrame) -> DataFrame:
+    """(rep, comp): the smallest node that each node of an edge reaches, by spreading minima and jumping to the label's label."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    touched = both.select(F.col("a").alias("rep")).distinct()
-    labels = checkpointed(touched.select("rep", F.col("rep").alias("comp")), "labels")
+    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("rep"), F.least("a", "b").alias("comp")), "labels")
     while True:
         heard = both.join(labels, both["b"] == labels["rep"]).groupBy("a").agg(F.min("comp").alias("heard"))
         spread = labels.join(heard, labels["rep"] == heard["a"]).select("rep", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
-        jump = spread.select(F.col("rep").alias("at"), F.col("comp").alias("further"))
+        jump = labels.select(F.col("rep").alias("at"), F.col("comp").alias("further"))
         new = checkpointed(spread.join(jump, spread["comp"] == jump["at"], "left").select("rep", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
         changed = new.where("old <> comp").limit(1).count()
         forget(labels)
         labels = new.select("rep", "comp")
         if not changed:
-            break
-    return nodes.join(labels, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
+            forget(both)
+            return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -137,52 +124,111 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = slim(docs, id_col, text_col).toDF("doc_id", "text")
     known = checkpointed(sketch(rows, size), "sketch")
     usable = known.where("n_shingles > 0 and doc_id is not null")
-    heads = usable.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    heads = checkpointed(heads, "classes")
-    # a set's class may be led by an id that leads another class too, if ids repeat; then both are one node
-    buckets = checkpointed(heads.select("rep", F.explode("bands").alias("band")).distinct(), "bands")
-    several = buckets.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band")
-    open_ = checkpointed(buckets.join(several, "band", "left_semi"), "open")
-    nodes = heads.select("rep").distinct()
-    links, comps, groups = None, None, 1
-    while True:
-        members = open_ if comps is None else open_.join(comps, "rep")
-        if comps is None:
-            members = members.withColumn("comp", F.col("rep"))
-        else:
-            mixed = members.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-            members = checkpointed(members.join(mixed, "band", "left_semi"), "members")
-            if not members.limit(1).count():
-                break
-        salted = members.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(groups)), F.lit(groups)))
-        centres = salted.groupBy("band", "salt").agg(F.min(F.struct("rep", "comp")).alias("c"), F.count("*").alias("n"))
-        centres = checkpointed(centres.select("band", F.col("c.rep").alias("centre"), F.col("c.comp").alias("centre_comp"), "n"), "centres")
-        pairs = members.join(centres, "band").where("comp <> centre_comp" if comps is not None else "rep <> centre")
-        pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        found = checkpointed(confirm(rows, checkpointed(pairs, "pairs"), size, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        comps = checkpointed(components(nodes, links), "components")
-        if comps is not None and groups > 1 and not centres.where("n > 1").limit(1).count():
-            break  # every member was a centre
-        groups *= 8
-        open_ = members.select("band", "rep")
-    top = comps.withColumnRenamed("rep", "r")
-    classes = heads.select(F.col("class").alias("k"), "rep")
-    out = known.join(classes, (known["class"] == classes["k"]) & known["doc_id"].isNotNull(), "left").join(top, F.col("rep") == F.col("r"), "left")
+    heads = checkpointed(usable.groupBy("class").agg(F.min(F.struct("doc_id", "bands")).alias("h")).select("class", F.col("h.doc_id").alias("rep"), F.col("h.bands").alias("bands")), "classes")
+    buckets = heads.select("rep", F.explode("bands").alias("band"))
+    lows = buckets.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
+    stars = buckets.join(lows, "band").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    family = components(stars).select("rep", F.col("comp").alias("family"))
+    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = checkpointed(with_sets(rows, placed, size), "members")
+    # first within blocks; then, in families of several blocks that hold several components, between them
+    within = members.select("family", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "rep", "shingles")
+    links = checkpointed(link(within, percent), "links")
+    comps = components(links)
+    wide = members.where("blocks > 1").select("family", "rep", "blocks", "block", "shingles").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    open_ = wide.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("family")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    across = wide.join(open_, "family", "left_semi").select("family", "block", other.alias("o"), "rep", "shingles").where("o <> block")
+    across = across.select("family", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"), "rep", "shingles")
+    more = checkpointed(link(across, percent), "links")
+    if more.limit(1).count():
+        comps = components(links.unionByName(more))
+    classes = heads.select(F.col("class").alias("k"), "rep").join(comps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left").select("k", F.coalesce("comp", "rep").alias("comp"))
+    out = known.join(classes, (known["class"] == classes["k"]) & known["doc_id"].isNotNull(), "left")
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def confirm(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = rows.where("doc_id is not null").join(ids, rows["doc_id"] == ids["id"], "left_semi")
-    sets = checkpointed(full_sets(wanted, size), "sets")
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y")).cast("bigint")
-    joined = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
-    return joined.where(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b").distinct()
+def with_sets(rows: DataFrame, placed: DataFrame, size: int) -> DataFrame:
+    """The placed documents with their full sets, packed."""
+    wanted = rows.where("doc_id is not null").join(placed, rows["doc_id"] == placed["rep"]).select("rep", "text", "family", "blocks", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for _, _, data, offsets in blocks(batch.column(1)):
+                sets, bounds = shingle_sets(data, offsets, size)
+                packed += [sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(packed, pa.binary())], names=["rep", "family", "blocks", "block", "shingles"])
+
+    return wanted.mapInArrow(run, "rep bigint, family bigint, blocks int, block int, shingles binary")
+
+
+def intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y, from indicator matrices, some shingles at a time."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    if x is y:  # only shingles of two sets or more count
+        values, n = np.unique(np.concatenate(x), return_counts=True)
+        both = values[n > 1]
+        np.fill_diagonal(out, 0)
+
+    def indicator(sets, part):
+        m = np.zeros((len(sets), len(part)), np.float32)
+        for k, s in enumerate(sets):
+            at = np.searchsorted(part, s)
+            at[at == len(part)] = 0
+            m[k, at[part[at] == s]] = 1
+        return m
+
+    for c in range(0, len(both), columns):
+        part = both[c : c + columns]
+        low, high = part[0], part[-1]
+        xs = [s[np.searchsorted(s, low) : np.searchsorted(s, high, "right")] for s in x]
+        mx = indicator(xs, part)
+        my = mx if x is y else indicator([s[np.searchsorted(s, low) : np.searchsorted(s, high, "right")] for s in y], part)
+        out += mx @ my.T
+    return out
+
+
+def link(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within each block, or between the two blocks, of (family, i, j, side, rep, shingles)."""
+    def run(group: pa.Table) -> pa.Table:
+        reps, sides = group.column("rep").to_numpy(), group.column("side").to_numpy()
+        sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
+        n = np.array([len(s) for s in sets])
+        left = np.flatnonzero(sides == 0)
+        right = np.flatnonzero(sides == 1) if sides.any() else left
+        edges = []
+        if len(left) and len(right):
+            xs = [sets[k] for k in left]
+            inter = intersections(xs, xs if right is left else [sets[k] for k in right]).astype(np.int64)
+            linked = 100 * inter >= percent * (n[left][:, None] + n[right][None, :] - inter)
+            if right is left:
+                np.fill_diagonal(linked, False)
+            a, b = np.nonzero(linked)
+            a, b = left[a], right[b]
+            # breadth first over both directions
+            order = np.argsort(np.concatenate([a, b]), kind="stable")
+            source, target = np.concatenate([a, b])[order], np.concatenate([b, a])[order]
+            cuts = np.searchsorted(source, np.arange(len(reps) + 1))
+            seen = np.zeros(len(reps), bool)
+            for root in range(len(reps)):
+                if seen[root]:
+                    continue
+                seen[root] = True
+                todo = [root]
+                while todo:
+                    at = todo.pop()
+                    fresh = np.unique(target[cuts[at] : cuts[at + 1]])
+                    fresh = fresh[~seen[fresh]]
+                    seen[fresh] = True
+                    todo += fresh.tolist()
+                    edges += [(reps[at], reps[k]) for k in fresh]
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return groups.groupBy("family", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def without_copies(docs: DataFrame, **options) -> DataFrame:
