@@ -1,0 +1,408 @@
+"""Brute-force, round-trip and edge-case tests of the training-data operators."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from textlattice.llm import decontamination, fmindex, language, minhash, packing, pii, quality, repeats, sharding, suffixes, toxicity
+from textlattice.llm.common import blocks
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string, bands string, chunk string, rep string"
+
+
+def make(spark, texts, ids=None):
+    """Documents with extra columns whose names the operators use inside."""
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", "x", "x", "x") for i, t in zip(ids, texts, strict=True)], SCHEMA)
+
+
+def corpus(seed=1, n=60):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    passages = [" ".join(rng.choice(words) for _ in range(rng.randint(50, 90))) for _ in range(4)]
+    out = []
+    for k in range(n):
+        if k % 7 == 3 and out:
+            base = rng.choice(out).split(" ")
+            for _ in range(rng.randint(0, 3)):
+                base[rng.randrange(len(base))] = rng.choice(words)
+            out.append(" ".join(base))
+            continue
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 120)))]
+        if k % 3 == 0:
+            parts.insert(rng.randint(0, 1), rng.choice(passages))
+        out.append(rng.choice([" ", "\n", "  "]).join(parts))
+    return [*out, None, "", " \n ", out[0], "x" * 60, "x" * 49, "a b", "a b"]
+
+
+def removed(docs, n=50):
+    least = {}
+    for i, u in docs:
+        for s in range(len(u) - n + 1):
+            key = tuple(u[s : s + n])
+            least[key] = min(least.get(key, i), i)
+    out = []
+    for i, u in docs:
+        gone = [False] * len(u)
+        for s in range(len(u) - n + 1):
+            if least[tuple(u[s : s + n])] < i:
+                gone[s : s + n] = [True] * n
+        out.append(gone)
+    return out
+
+
+def test_repeated_bytes(spark):
+    texts = corpus()
+    ids = [*range(len(texts) - 1), 3]
+    got = sorted(tuple(r) for r in suffixes.remove_repeated_bytes(make(spark, texts, ids)).collect())
+    raw = [(t or "").encode() for t in texts]
+    want = []
+    for i, u, gone in zip(ids, raw, removed(list(zip(ids, raw, strict=True))), strict=True):
+        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        want.append((i, len(u), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(u, gone, strict=True) if not g)).hexdigest()))
+    assert got == sorted(want)
+    assert sum(w[2] for w in want) > 0
+
+
+def test_repeated_words(spark):
+    texts = corpus(2)
+    got = sorted(tuple(r) for r in fmindex.remove_repeated_words(make(spark, texts)).collect())
+    raw = [(t or "").encode().split() for t in texts]
+    want = []
+    for i, (u, gone) in enumerate(zip(raw, removed(list(enumerate(raw))), strict=True)):
+        want.append((i, len(u), sum(gone), hashlib.sha256(b" ".join(b for b, g in zip(u, gone, strict=True) if not g)).hexdigest()))
+    assert got == want
+    assert sum(w[2] for w in want) > 0
+
+
+def test_repeats_null_ids_and_empty(spark):
+    t = "word " * 60
+    got = {r["doc_id"]: r["n_removed"] for r in fmindex.remove_repeated_words(make(spark, [t, t], [None, 5])).collect()}
+    assert got == {None: 60, 5: 0}
+    for f in (fmindex.remove_repeated_words, suffixes.remove_repeated_bytes):
+        assert f(make(spark, [])).count() == 0
+
+
+def test_loser_tree_and_front_coding():
+    rng = random.Random(5)
+    runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(0, 30))) for _ in range(7)]
+    out, before = [], b""
+    made = [suffixes.Run(*suffixes.front_code(r)) for r in runs]
+    for run, at, known in suffixes.merge(made):
+        s = runs[run][at]
+        assert known == suffixes.common(before, s, 0)
+        out.append(s)
+        before = s
+    assert out == sorted(itertools.chain(*runs))
+
+
+def test_fm_index_counts():
+    rng = np.random.default_rng(3)
+    text = np.append(rng.integers(1, 4, 300), 0).astype(np.uint64)
+    index = fmindex.FMIndex(text, 8)
+    ends = np.arange(5, 300)
+    low, high = index.search(ends, 5)
+    counts = Counter(tuple(text[e - 5 : e]) for e in range(5, 301))
+    for e, n in zip(ends, high - low, strict=True):
+        assert n == (counts[tuple(text[e - 5 : e])] if counts[tuple(text[e - 5 : e])] > 1 else 0)
+
+
+def near_brute(texts, ids, size, percent):
+    sets = defaultdict(set)
+    for i, t in zip(ids, texts, strict=True):
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode())
+        w = [x.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")) for x in w]
+        sets[i] |= {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        k = len(sets[a] & sets[b])
+        if k and 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    texts = [*corpus(4), *(" ".join(f"w{k}" if k != j else "new" for k in range(90)) for j in range(12)), "One TWO", "one two"]
+    ids = list(range(len(texts)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(make(spark, texts), size=4).collect()}
+    assert got == near_brute(texts, ids, 4, 80)
+    kept = {r["doc_id"] for r in minhash.without_copies(make(spark, texts), size=4).collect()}
+    assert kept == {i for i, (_, c) in got.items() if i == c}
+
+
+def test_near_duplicates_edges(spark):
+    assert minhash.near_duplicates(make(spark, [])).count() == 0
+    rows = minhash.near_duplicates(make(spark, ["a b c d e f", None, "", "a b c d e f"], [None, 1, 2, 3])).collect()
+    assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in rows} == {None: (None, True), 1: (1, True), 2: (2, True), 3: (3, True)}
+
+
+def test_base_spans():
+    text = "mail a.b@c.example.com. ip 10.0.0.300 1.2.3.4 card 4539 1488 0343 6467 call +1 (212) 555-0199 @ x@y"
+    got = [(pii.KINDS[k], text[a:b]) for a, b, k in pii.base_spans(text)]
+    assert got == [("email", "a.b@c.example.com"), ("ip", "1.2.3.4"), ("card", "4539 1488 0343 6467"), ("phone", "+1 (212) 555-0199")]
+
+
+def brute_spans(text):
+    out = []
+    pats = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    for k, p in enumerate(pats):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == 1 and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if k == 2 and not (14 <= len(d) <= 19 and pii.luhn(d)):
+                continue
+            if k == 3 and not 10 <= len(d) <= 15:
+                continue
+            out.append((m.start(), m.end(), k))
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_base_spans_against_plain_patterns():
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice("a.@-+ 0123456789()%\né") for _ in range(rng.randint(0, 60)))
+        assert pii.base_spans(text) == brute_spans(text), text
+
+
+def test_personal_data(spark):
+    texts = ["write to bob.1@mail.example.com now", None, "", "nothing here", "call 212-555-0199 or (212) 555-0199 soon", "7" * 3000, "a@" * 2000]
+    rows = {r["doc_id"]: r for r in pii.find_personal(make(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = brute_spans(t or "")
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        assert all(f"{pii.KINDS[k]}:{a}:{b}" in rows[i]["spans"].split(",") for a, b, k in base)
+    assert rows[3]["spans"] == ""
+    red = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(make(spark, texts)).collect()}
+    assert red[0] == ("write to <email> now", 20) and red[1] == (None, None)
+    assert pii.find_personal(make(spark, [])).count() == 0
+
+
+def test_tagger_on_held_out_sentences():
+    net, rng = pii.train(), np.random.default_rng(12345)
+    made = [pii._example(rng) for _ in range(150)]
+    found = pii.model_spans([t for t, _ in made], net)
+    hit = sum(len(set(g) & set(f)) for (_, g), f in zip(made, found, strict=True))
+    assert hit >= 0.95 * sum(len(g) for _, g in made) and hit >= 0.95 * sum(map(len, found))
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    rng = random.Random(3)
+    texts = [*corpus(6), "tail space ", "two  spaces", "line\n\nbreaks \t x", "it's <|endoftext|> here", "émigré’s 123 çé", "y" * 5000, " lead", " ".join(rng.choice(["alpha", "be", "12"]) for _ in range(9000))]
+    rows = packing.pack_sequences(make(spark, texts)).collect()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, whole in ids.items():
+        at = 0
+        for start, length, crc, total in sorted(pieces[i]):
+            assert start == at and total == len(whole) and crc == zlib.crc32(np.array(whole[start : start + length], "<u4").tobytes())
+            at += length
+        assert at == len(whole)
+    pad = 0
+    for runs in sequences.values():
+        at = 0
+        for offset, length in sorted(runs):
+            assert offset == at
+            at += length
+        assert at <= 2048
+        pad += 0 if at & (at - 1) == 0 else 2048 - at
+    assert pad == 0
+    assert packing.pack_sequences(make(spark, [])).count() == 0
+
+
+def test_packing_minimises_sum_of_squares():
+    packer = packing.Packer(0, 16)
+    rng = random.Random(1)
+    for k in range(300):
+        levels = packer.levels.copy()
+        rest = rng.randint(1, 15)
+
+        def cost(h, levels=levels, rest=rest):
+            after = levels.copy()
+            after[h] -= h > 0
+            after[h + rest] += 1
+            return int((after[1:16] ** 2).sum())
+
+        options = [h for h in range(16 - rest + 1) if h == 0 or levels[h]]
+        best = min(cost(h) for h in options)
+        packer.place((k, 0, bytes(4 * rest), rest), rest)
+        assert int((packer.levels[1:16] ** 2).sum()) == best
+
+
+def test_sharding(spark):
+    names = [f"n{i}" for i in range(7)]
+    table = sharding.fill_table(names, 251)
+    counts = Counter(table)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    fewer = sharding.fill_table(names[:-1], 251)
+    moved = sum(a != b for a, b in zip(table, fewer, strict=True) if a != 6)
+    assert moved < 60
+    rows = sharding.place_documents(make(spark, ["a", None, "c"], [1, None, 1]), names, slots=251).collect()
+    for r in rows:
+        slot = int(hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:8], 16) % 251
+        assert (r["slot"], r["shard"]) == (slot, names[table[slot]])
+    with pytest.raises(ValueError):
+        sharding.fill_table(names, 250)
+
+
+def best_substring(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, x in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != x)))
+        row = new
+    return min(row)
+
+
+def test_decontamination(spark):
+    rng = random.Random(2)
+    items = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 7))) for _ in range(12)) for _ in range(8)]
+    texts = []
+    for k in range(40):
+        noise = " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(20))
+        if k % 2:
+            item = list(rng.choice(items))
+            for _ in range(rng.randint(0, 9)):
+                item[rng.randrange(len(item))] = rng.choice(["", "zz", "q"])
+            noise += " " + "".join(item) + "  " + noise
+        texts.append(noise)
+    texts += [None, "", items[0].upper().replace(" ", "\n")]
+    bench = spark.createDataFrame([*enumerate(items), (98, None), (99, " "), (100, items[0])], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontamination.find_leaks(make(spark, texts), bench, block_chars=200).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for j, item in [*enumerate(items), (100, items[0])]:
+            d = best_substring(decontamination.normal(item), decontamination.normal(t or ""))
+            if d <= int(len(decontamination.normal(item)) * decontamination.RATE):
+                want[i, j] = d
+    assert got == want and want
+    assert {r["doc_id"] for r in decontamination.without_leaks(make(spark, texts), bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+    assert decontamination.find_leaks(make(spark, texts), bench.limit(0)).count() == 0
+
+
+def quality_brute(text):
+    t = text or ""
+    words = [w.decode() for w in t.encode().split()]
+    grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    cover = set()
+    for i in range(len(words) - 2):
+        if grams[tuple(words[i : i + 3])] > 1:
+            cover |= {i, i + 1, i + 2}
+    lines, seen, dup = t.split("\n"), set(), 0
+    for line in lines:
+        if line.encode().split():
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dup, len(cover)
+
+
+def test_quality(spark):
+    texts = [*corpus(8), "é ü\né ü\n\n \né ü", "a b c a b c x a b c", "#*$%&|<>"]
+    docs = make(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in quality.judge(docs, quality.fit(docs, labels)).collect()}
+    for i, t in enumerate(texts):
+        r, want = rows[i], quality_brute(t)
+        assert tuple(r[c] for c in quality.BASE) == want, i
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+    empty = quality.judge(docs, quality.fit(docs, labels.limit(0)))
+    assert all(r["kept"] != r["base_failed"] for r in empty.collect())
+
+
+def test_viterbi_against_all_labellings():
+    rng = np.random.default_rng(2)
+    w, t = rng.normal(size=quality.N_FEATURES), rng.normal(size=(2, 2))
+    sizes = [0, 1, 3, 6, 2]
+    x, bounds = rng.normal(size=(sum(sizes), quality.N_FEATURES)), np.concatenate([[0], np.cumsum(sizes)])
+    got = quality.viterbi(x, bounds, w, t)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        u = x[a:b] @ w
+        score = {y: sum(u[k] * y[k] for k in range(b - a)) + sum(t[p, q] for p, q in itertools.pairwise(y)) for y in itertools.product((0, 1), repeat=b - a)}
+        best = max(score, key=score.get)
+        assert tuple(got[a:b]) == tuple(y == 0 for y in best)
+
+
+def test_language(spark):
+    rng = random.Random(4)
+    sounds = {"aa": "atoke", "bb": "ñuxizq"}
+    rows = []
+    for i in range(80):
+        lang = ["aa", "bb"][i % 2]
+        rows.append((i, " ".join("".join(rng.choice(sounds[lang]) for _ in range(5)) for _ in range(30)), lang))
+    rows += [(80, None, "aa"), (81, "123 !", "bb"), (82, rows[0][1] + " " + rows[1][1], None), (83, "ñ", None), (84, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(docs, language.fit(docs.where("doc_id < 40"), "lang", "doc_id", "text")).collect()}
+    assert all(got[i]["lang_pred"] == rows[i][2] for i in range(80))
+    assert [got[i]["lang_pred"] for i in (80, 81, 84)] == ["und"] * 3
+    assert sorted(got[82]["languages"]) == ["aa", "bb"]
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    none = language.identify(docs, language.fit(docs.limit(0), "lang", "doc_id", "text"))
+    assert {r["lang_pred"] for r in none.collect()} == {"und"}
+    assert {r["doc_id"] for r in language.accepted(docs, language.fit(docs, "lang", "doc_id", "text")).collect()} == set(range(84)) - {80, 81}
+
+
+def test_toxicity(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(300):
+        words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(25)]
+        bad = int(i % 4 == 0)
+        if bad:
+            words[rng.randrange(25)] = "Scum!"
+        rows.append((i, " ".join(words)))
+        labels.append((i, bad, 1))
+    rows += [(None, "scum"), (301, None), (302, "")]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int, score int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    held = [i for i in range(300) if got[i]["held_out"]]
+    assert held and all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(300))
+    assert all(got[i]["predicted"] == (i % 4 == 0) for i in held)
+    assert 0 <= got[301]["score"] == got[302]["score"] <= 1
+    assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("predicted = 1").count() == 0
+
+
+def test_blocks_cover_all_rows():
+    column = pa.array(["abc", None, "", "x" * 5000, "é"])
+    seen = [(i, j, bytes(d[o[k] : o[k + 1]])) for i, j, d, o in blocks(column, 4) for k in range(j - i)]
+    assert [s[2].decode() for s in seen] == ["abc", "", "", "x" * 5000, "é"]
+
+
+def test_pipeline_against_the_operators(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [*corpus(11), "mail bob@mail.example.com please " + " ".join(f"u{i}" for i in range(60)), "1234"]
+    item = " ".join(f"item{i}" for i in range(20))
+    texts.append(f"before {item} after")
+    make(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    letters = [i for i, t in enumerate(texts) if t and re.search(r"[^\W\d_]", t)]
+    comp = near_brute([texts[i] for i in letters], letters, 5, 80)
+    assert got == {i for i in letters if comp[i][1] == i and item not in texts[i]}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "personal_data", "packing"]
