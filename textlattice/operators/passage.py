@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlattice.functions import normalize as N
@@ -16,12 +16,9 @@ def token_sentences(events: DataFrame) -> DataFrame:
 
     A token that holds ``.``, ``!`` or ``?`` ends a sentence, as does the last. Sentences without a clean word are dropped.
     """
-    ends = F.col("token").rlike("[.!?]").cast("int")
-    rows = F.array_sort(F.collect_list(F.struct("pos", "token", "alert", ends.alias("end"))))
-    empty = F.array().cast("array<struct<g:int,token:string,alert:string>>")
-    # numbered groups in one fold: the group of a token is the count of ends before it
-    fold = F.aggregate("r", F.struct(F.lit(0).alias("g"), empty.alias("out")), lambda acc, x: F.struct((acc["g"] + x["end"]).alias("g"), F.concat(acc["out"], F.array(F.struct(acc["g"].alias("g"), x["token"].alias("token"), x["alert"].alias("alert")))).alias("out")))
-    flat = events.groupBy("doc_id").agg(rows.alias("r")).select("doc_id", F.posexplode(fold["out"]).alias("i", "x")).select("doc_id", "i", "x.g", "x.token", "x.alert")
+    ends = F.col("token").rlike("[.!?]").cast("bigint")
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    flat = events.withColumn("g", F.coalesce(F.sum(ends).over(before), F.lit(0))).withColumnRenamed("pos", "i")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda s: s["token"])
     clean = F.size(F.flatten(F.collect_list(N.clean_words(F.col("token"))))).cast("bigint")
     grouped = flat.groupBy("doc_id", "g").agg(N.tidy_spacing(N.strip(F.array_join(texts, " "))).alias("text"), clean.alias("n_tokens"), F.count_if(F.contains("alert", F.lit("[SEGMENT-ALERT]"))).alias("num_merges"), F.count_if(F.contains("alert", F.lit("[SPELL-ALERT]"))).alias("num_spells"))
@@ -60,7 +57,7 @@ def comparison_table(scored: DataFrame) -> DataFrame:
     rounded = scored.withColumns({c: value(c) for c in ("pcfg", "bigram", "trigram")})
     verdict = decide(F.col("pcfg"), F.col("trigram"), F.col("bigram"), F.col("n_tokens"))
     return rounded.withColumn("v", verdict).select(
-        *keys, "sentence_text", F.coalesce(F.format_string("%.4f", "pcfg"), F.lit("Unparseable")).alias("pcfg_result"), F.col("bigram").alias("bigram_score"), F.col("trigram").alias("trigram_score"),
+        *keys, "sentence_text", F.when(F.col("pcfg").isNull(), "Unparseable").otherwise(F.format_string("%.4f", "pcfg")).alias("pcfg_result"), F.col("bigram").alias("bigram_score"), F.col("trigram").alias("trigram_score"),
         F.col("v.method").alias("chosen_method"), F.col("v.verdict").alias("final_verdict"), F.coalesce("num_merges", F.lit(0)).cast("bigint").alias("num_merges"), F.coalesce("num_spells", F.lit(0)).cast("bigint").alias("num_spells"),
     )
 

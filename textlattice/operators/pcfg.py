@@ -146,4 +146,4 @@ def parse_sentences(sents: DataFrame, found: DataFrame, start: str = "S", longes
 
 def display(logprob) -> object:
     """The score as text with four places, floored at ln 1e-300, or Unparseable."""
-    return F.coalesce(F.format_string("%.4f", F.greatest(logprob, F.lit(math.log(1e-300)))), F.lit("Unparseable"))
+    return F.when(logprob.isNull(), "Unparseable").otherwise(F.format_string("%.4f", F.greatest(logprob, F.lit(math.log(1e-300)))))

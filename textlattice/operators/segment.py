@@ -117,14 +117,7 @@ def segment_beam(strings: DataFrame, model: TrigramModel, longest: int = LONGEST
 def typing_merges(words: Column, *seed: Column | str, probability: float = 0.08) -> Column:
     """Array of (token, n_words): the space before each further word is left out with the probability, by a hash of seed and place."""
     cut = int(probability * (1 << 32))
-    numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), (F.when(i == 0, F.lit(False)).otherwise(N.hashed("merge", *seed, i) < cut)).alias("glue")))
-    empty = F.array().cast("array<struct<token:string,n_words:bigint>>")
-
-    def step(acc, x):
-        n = F.size(acc)
-        last = F.try_element_at(acc, F.lit(-1))
-        glued = F.struct(F.concat(last["token"], x["w"]).alias("token"), (last["n_words"] + 1).alias("n_words"))
-        fresh = F.struct(x["w"].alias("token"), F.lit(1).cast("bigint").alias("n_words"))
-        return F.when(x["glue"], F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(glued))).otherwise(F.concat(acc, F.array(fresh)))
-
-    return F.aggregate(numbered, empty, step)
+    # one mark before a word that starts a token, another before one that is glued on
+    marked = F.transform(words, lambda w, i: F.concat(F.when(i == 0, F.lit("")).when(N.hashed("merge", *seed, i) < cut, F.lit("\u0002")).otherwise(F.lit("\u0001")), w))
+    tokens = F.filter(F.split(F.array_join(marked, ""), "\u0001"), lambda t: t != "")
+    return F.transform(tokens, lambda t: F.struct(F.replace(t, F.lit("\u0002"), F.lit("")).alias("token"), F.size(F.split(t, "\u0002")).cast("bigint").alias("n_words")))

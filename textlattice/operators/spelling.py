@@ -41,21 +41,13 @@ def deletions(vocab: DataFrame) -> DataFrame:
     return vocab.select("word", F.explode(deletions_of(F.col("word"))).alias("del"))
 
 
-def _near(q: Column, w: Column) -> Column:
-    """Within one deletion, insertion or replacement by a-z, or one swap of neighbours; assumes both share a deletion or one is the other's."""
+def _one_letter(q: Column, w: Column) -> Column:
+    """w is q with one letter of a-z put in, or put in another's place; assumes that both share a deletion or one is the other's."""
     n = F.length(q)
-    same = F.length(w) == n
-    at = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda acc, i: F.when((acc == 0) & (q.substr(i, F.lit(1)) != w.substr(i, F.lit(1))), i).otherwise(acc))
-    swapped = F.concat(q.substr(F.lit(1), at - 1), q.substr(at + 1, F.lit(1)), q.substr(at, F.lit(1)), q.substr(at + 2, n))
-    put = w.substr(at, F.lit(1))
-    # the letter put in, for a longer candidate: the first place where it departs from the query
-    into = F.aggregate(F.sequence(F.lit(1), F.length(w)), F.lit(0), lambda acc, i: F.when((acc == 0) & (F.coalesce(q.substr(i, F.lit(1)), F.lit("")) != w.substr(i, F.lit(1))), i).otherwise(acc))
-    inserted = w.substr(into, F.lit(1)).rlike("^[a-z]$")
-    itself = (q == w) & q.rlike("[a-z]")
-    replaced = same & (F.levenshtein(q, w) == 1) & put.rlike("^[a-z]$")
-    swap = same & (q != w) & (swapped == w)
-    repeat = (F.length(w) == n) & (q == w) & q.rlike(r"(.)\1")
-    return itself | repeat | replaced | swap | (F.length(w) == n - 1) | ((F.length(w) == n + 1) & inserted)
+    longer = F.length(w) == n + 1
+    at = F.aggregate(F.sequence(F.lit(1), F.length(w)), F.lit(0), lambda acc, i: F.when((acc == 0) & (F.coalesce(q.substr(i, F.lit(1)), F.lit("")) != w.substr(i, F.lit(1))), i).otherwise(acc))
+    put = F.when(w.rlike("^[a-z]+$"), F.lit(True)).otherwise(w.substr(at, F.lit(1)).rlike("^[a-z]$"))
+    return (longer | ((F.length(w) == n) & (F.levenshtein(q, w, 1) == 1))) & put
 
 
 def candidates_b(queries: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -69,9 +61,14 @@ def candidates_b(queries: DataFrame, vocab: DataFrame) -> DataFrame:
 def candidates_a(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     """(query, candidate): vocabulary words one delete, swap, replace or insert away. No edits are listed: deletion keys join, a test decides."""
     shorter = queries.select("query", F.explode(deletions_of(F.col("query"))).alias("candidate")).join(vocab.select(F.col("word").alias("candidate")), "candidate", "left_semi").select("query", "candidate")
-    itself = queries.join(vocab.select(F.col("word").alias("query")), "query", "left_semi").select("query", F.col("query").alias("candidate"))
-    near = candidates_b(queries, vocab).unionByName(itself).where(_near(F.col("query"), F.col("candidate")))
-    return near.unionByName(shorter).distinct()
+    known = vocab.select(F.col("word").alias("candidate"))
+    q = F.col("query")
+    swaps = F.transform(F.sequence(F.lit(1), F.length(q) - 1), lambda i: F.concat(q.substr(F.lit(1), i - 1), q.substr(i + 1, F.lit(1)), q.substr(i, F.lit(1)), q.substr(i + 2, F.length(q))))
+    swapped = queries.where(F.length(q) > 1).select("query", F.explode(swaps).alias("candidate")).join(known, "candidate", "left_semi").select("query", "candidate")
+    # a letter replaced by itself gives the word itself
+    itself = queries.where(q.rlike("[a-z]")).select("query", q.alias("candidate")).join(known, "candidate", "left_semi").select("query", "candidate")
+    near = candidates_b(queries, vocab).where(_one_letter(q, F.col("candidate")))
+    return near.unionByName(shorter).unionByName(swapped).unionByName(itself).distinct()
 
 
 def correct_non_word(queries: DataFrame, vocab: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -266,7 +266,7 @@ ORACLES: dict[str, str] = {
     "grammar_trigger_score": sql("SELECT l.conv_id, l.pos, coalesce(round(lp, 6), 0) AS logprob FROM line l LEFT JOIN three t ON t.conv_id = l.conv_id AND t.pos = l.pos LEFT JOIN q1 USING (w1, w2, w3)", MERGE, LINES, "three AS (SELECT conv_id, pos, w1, w2, w3 FROM (SELECT conv_id, pos, lag(clean, 2) OVER o AS w1, lag(clean) OVER o AS w2, clean AS w3 FROM line WHERE clean <> '' WINDOW o AS (PARTITION BY conv_id ORDER BY pos)) WHERE w1 IS NOT NULL)", base("three")),
 }
 ORACLES["sentence_split_tokens"] = r"""
-WITH words AS (SELECT doc_id + 1 AS doc_id, w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, l, unnest(l) AS w FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM documents))),
+WITH words AS (SELECT doc_id + 1 AS doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM documents)),
 grouped AS (SELECT *, coalesce(sum(regexp_matches(w, '[.!?]')::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM words),
 sents AS (SELECT doc_id, g, replace(replace(replace(replace(replace(string_agg(w, ' ' ORDER BY i), ' .', '.'), ' ,', ','), ' !', '!'), ' ?', '?'), ' ''', '''') AS text, count(*) FILTER (regexp_replace(w, '[^a-zA-Z0-9]', '', 'g') <> '') AS n FROM grouped GROUP BY ALL)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS sent_id, text, n AS n_tokens, 0::BIGINT AS num_merges, 0::BIGINT AS num_spells FROM sents WHERE n > 0 AND text <> ''
