@@ -25,7 +25,7 @@ from .common import LOWER, U64, ByteHash, blocks, checkpointed, forget, mix, sli
 #: 30 bands of 5 values: a pair of similarity 0.8 is in no common bucket with a probability of 7e-6, of 0.85 with 1e-8.
 BANDS, ROWS = 30, 5
 #: Documents in a block of a family; two blocks are compared at once.
-BLOCK = 512
+BLOCK = 2048
 PERMUTATIONS = BANDS * ROWS // 2
 _A = np.random.default_rng(3).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U64(2) + U64(1)
 _B = np.random.default_rng(4).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64)
