@@ -67,7 +67,7 @@ def ftrl(examples: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 5, held: int = 0, per_class: int = FIT_DOCS) -> tuple[np.ndarray, float]:
-    """Weights and bias. Ids with several labels count as toxic if any is; null labels and ids don't count.
+    """Weights and bias from about as many documents of either class, so both kinds of error cost the same. Ids with several labels count as toxic if any is; null labels and ids don't count.
 
     With labels of one class only, all weights are zero and the bias is -8 or 8; with none, -8.
     """
@@ -94,10 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = rows.mapInArrow(run, "doc_id bigint, y int, found binary").collect()
     seen.sort(key=lambda r: (hash((r["doc_id"] * 2654435761) & 0xFFFFFFFF), r["doc_id"], bytes(r["found"])))
     examples = [(int(r["y"] > 0), np.frombuffer(bytes(r["found"]), "<u4").astype(np.int64)) for r in seen]
-    n1 = sum(y for y, _ in examples)
     weights, bias = ftrl(examples)
-    if 0 < n1 < len(examples):  # the classes were drawn at other rates than they have
-        bias += float(np.log(sizes[1] / sizes[0]) - np.log(n1 / (len(examples) - n1)))
     return weights, bias
 
 
