@@ -161,4 +161,4 @@ def confusion(pairs: DataFrame, top: int = 8) -> DataFrame:
     """(gold, one column a label): counts over the ``top`` most frequent gold labels."""
     labels = [r["gold"] for r in pairs.groupBy("gold").count().orderBy(F.desc("count"), "gold").limit(top).collect()]
     kept = pairs.where(F.col("gold").isin(labels) & F.col("pred").isin(labels))
-    return kept.groupBy("gold").pivot("pred", sorted(labels)).agg(F.count("*")).na.fill(0)
+    return kept.groupBy("gold").pivot("pred", sorted(labels)).agg(F.count(F.lit(1))).na.fill(0)

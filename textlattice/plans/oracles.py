@@ -2,7 +2,7 @@
 
 Classes: full SQL over the tables for most; literal VALUES, worked out by hand, for decoders and parsers on small
 inputs. Without SQL (rows only): arc_classifier, arc_top3, arc_parse, tagging_benchmark, editor_token_check,
-segment_then_spell, alert_console, model_roundtrip, hmm_viterbi; tests hold these against brute force.
+segment_then_spell, alert_console, model_roundtrip; tests hold these against brute force.
 """
 
 from __future__ import annotations
@@ -265,6 +265,24 @@ ORACLES: dict[str, str] = {
     "editor_stream": sql("SELECT conv_id, pos, array_to_string(w, ' ') AS \"window\" FROM fired", MERGE, WINDOWS),
     "grammar_trigger_score": sql("SELECT l.conv_id, l.pos, coalesce(round(lp, 6), 0) AS logprob FROM line l LEFT JOIN three t ON t.conv_id = l.conv_id AND t.pos = l.pos LEFT JOIN q1 USING (w1, w2, w3)", MERGE, LINES, "three AS (SELECT conv_id, pos, w1, w2, w3 FROM (SELECT conv_id, pos, lag(clean, 2) OVER o AS w1, lag(clean) OVER o AS w2, clean AS w3 FROM line WHERE clean <> '' WINDOW o AS (PARTITION BY conv_id ORDER BY pos)) WHERE w1 IS NOT NULL)", base("three")),
 }
+#: The event types of the tables; the query finds its labels itself.
+ORACLES["confusion_matrix"] = sql("SELECT gold, " + ", ".join(f"count(*) FILTER (pred = '{t}') AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM guess GROUP BY gold", SEQ)
+ORACLES["hmm_viterbi"] = sql(
+    "SELECT user_id, pos, tag AS pred_tag, round((SELECT max(score) FROM last l WHERE l.user_id = path.user_id), 4) AS best_score FROM path",
+    "RECURSIVE " + SEQ.strip(), r"""
+emp AS (SELECT t.tag, w.word, ln((coalesce(c, 0) + 1e-4::DOUBLE) / (n + 1e-4::DOUBLE * ((SELECT count(DISTINCT word) FROM seq) + 1))) AS lp FROM (SELECT tag, count(*) AS n FROM seq GROUP BY tag) t CROSS JOIN (SELECT DISTINCT word FROM seq) w LEFT JOIN em ON em.tag = t.tag AND em.word = w.word),
+trellis(user_id, pos, tag, score, back) AS (
+  SELECT user_id, pos, e.tag, trp.lp + e.lp, NULL::VARCHAR FROM seq s JOIN emp e USING (word) JOIN trp ON trp.prev = '<START>' AND trp.cur = e.tag WHERE pos = 0
+  UNION ALL
+  SELECT t.user_id, t.pos + 1, e.tag, max(t.score + trp.lp) + any_value(e.lp), arg_min(t.tag, {'s': -(t.score + trp.lp), 't': t.tag}) FROM trellis t JOIN seq s ON s.user_id = t.user_id AND s.pos = t.pos + 1 JOIN emp e ON e.word = s.word JOIN trp ON trp.prev = t.tag AND trp.cur = e.tag GROUP BY t.user_id, t.pos, e.tag
+),
+last AS (SELECT user_id, pos, tag, score, back FROM (SELECT *, max(pos) OVER (PARTITION BY user_id) AS m FROM trellis) WHERE pos = m),
+path(user_id, pos, tag, back) AS (
+  SELECT user_id, pos, tag, back FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, tag) AS r FROM last) WHERE r = 1
+  UNION ALL
+  SELECT p.user_id, p.pos - 1, t.tag, t.back FROM path p JOIN trellis t ON t.user_id = p.user_id AND t.pos = p.pos - 1 AND t.tag = p.back
+)""",
+)
 ORACLES["sentence_split_tokens"] = r"""
 WITH words AS (SELECT doc_id + 1 AS doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM documents)),
 grouped AS (SELECT *, coalesce(sum(regexp_matches(w, '[.!?]')::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM words),
