@@ -162,4 +162,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     """The documents, with all their columns, that hold no item. Rows with a null id are kept."""
     id_col = options.get("id_col", "doc_id")
     leaked = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, docs[id_col] == leaked["__leaked"], "left_anti")
+    # nothing bounds the number of leaked documents, so they are never broadcast
+    return docs.join(leaked.hint("merge"), docs[id_col] == leaked["__leaked"], "left_anti")

@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def with_sets(rows: DataFrame, placed: DataFrame, size: int) -> DataFrame:
     """The placed documents with their full sets, packed."""
-    wanted = rows.where("doc_id is not null").join(placed, rows["doc_id"] == placed["rep"]).select("rep", "text", "family", "blocks", "block")
+    # nothing bounds the number of placed documents, so they are never broadcast
+    wanted = rows.where("doc_id is not null").join(placed.hint("merge"), rows["doc_id"] == placed["rep"]).select("rep", "text", "family", "blocks", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,4 +236,5 @@ def without_copies(docs: DataFrame, **options) -> DataFrame:
     """All columns of the kept documents; of rows with one id and equal text, all stay."""
     id_col = options.get("id_col", "doc_id")
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    # the number of copies is not bounded either
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["__gone"], "left_anti")
