@@ -127,7 +127,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = checkpointed(usable.groupBy("class").agg(F.min(F.struct("doc_id", "bands")).alias("h")).select("class", F.col("h.doc_id").alias("rep"), F.col("h.bands").alias("bands")), "classes")
     buckets = heads.select("rep", F.explode("bands").alias("band"))
     lows = buckets.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
-    stars = buckets.join(lows, "band").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    # one edge from each document to the least of its buckets' smallest ids (as many as bands at most), and from that to the others, once
+    found = checkpointed(buckets.join(lows, "band").groupBy("rep").agg(F.collect_set("low").alias("lows")).select("rep", "lows", F.array_min("lows").alias("a")), "stars")
+    stars = found.select("a", F.col("rep").alias("b")).union(found.select("a", F.explode("lows").alias("b"))).where("a <> b").distinct()
     family = components(stars).select("rep", F.col("comp").alias("family"))
     sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
