@@ -66,6 +66,29 @@ def test_beam_against_all_cuts(toy):
         assert "".join(tokens) == text and value == pytest.approx(best)
 
 
+@pytest.mark.parametrize("chars", [1, 1 << 13])
+def test_beam_over_tables_equals_the_model_held_whole(spark, monkeypatch, chars):
+    rng = random.Random(2)
+    words = ["the", "cat", "cats", "a", "at", "he", "sat", "s", "th", "éc"]
+    sents = spark.createDataFrame([(i, 0, rng.choices(words, k=rng.randint(1, 6))) for i in range(40)], "doc_id bigint, sent_id bigint, words array<string>")
+    lm = ngram.train(sents)
+    whole = segment.collect_model(lm)
+    texts = ["".join(rng.choices([*words, "x"], k=rng.randint(1, 7))) for _ in range(60)] + ["", "x", "the" * 40, "thecat"]
+    monkeypatch.setattr(segment, "MODEL_ROWS", 0)
+    monkeypatch.setattr(segment, "BLOCK_CHARS", chars)
+    got = segment.segment_beam(spark.createDataFrame([(s,) for s in [*texts, None]], "s string"), lm).collect()
+    assert sorted(r["s"] for r in got) == sorted(set(texts))
+    for r in got:
+        tokens, score = segment.beam(r["s"], whole) if r["s"] else ([], 0.0)
+        assert r["tokens"] == tokens and r["score"] == pytest.approx(score)
+
+
+def test_no_model_size_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(segment, "MODEL_ROWS", 0)
+    for f in (catalog.editor_token_check, catalog.segment_then_spell, catalog.alert_console):
+        assert f(spark, "/root/testdata/sf0.001").columns
+
+
 def test_greedy():
     assert segment.greedy("thecatsat", {"the", "cat", "cats", "sat", "a"}) == ["the", "cats", "a", "t"]
     assert segment.greedy("", {"a"}) == [] and segment.greedy("xy", set()) == ["x", "y"]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +16,23 @@ from textlattice.functions import normalize as N
 from .ngram import BOS, EOS, K, CountTables
 
 LONGEST, BEAM, OOV = 20, 20, -18.0
-#: Model rows that are sent to every executor at most (about 200 MB); larger models need a smaller lexicon.
+#: Rows of a model that is held whole, by collect_model, at most (about 200 MB); segment_beam takes CountTables of any size.
 MODEL_ROWS = 5_000_000
+#: Characters of distinct strings that are decoded together, with the model rows that they can use (one longer string is a block).
+BLOCK_CHARS = 1 << 13
+#: Rows that a kernel gives at once.
+CHUNK = 50_000
 
 
 class TrigramModel:
     """Counts as dictionaries, with the penalised back-off of ``ngram.trigram_log_prob``."""
 
-    def __init__(self, uni: dict, bi: dict, tri: dict, k: float = K):
+    def __init__(self, uni: dict, bi: dict, tri: dict, k: float = K, stats: tuple[int, int] | None = None):
+        """``stats``: tokens and types of the whole model, if the counts are part of it."""
         self.uni, self.bi, self.tri, self.k = uni, bi, tri, k
         self.vocab = {w for w in uni if w not in (BOS, EOS)}
-        self.v = len(self.vocab) + 1
-        self.total = sum(c for w, c in uni.items() if w in self.vocab)
+        self.total, types = stats or (sum(c for w, c in uni.items() if w in self.vocab), len(self.vocab))
+        self.v = types + 1
 
     def log_prob(self, w: str, before: str, last: str) -> float:
         k, v = self.k, self.v
@@ -81,10 +88,10 @@ def beam(text: str, lm: TrigramModel, vocab=None, longest: int = LONGEST, width:
 
 
 def collect_model(lm: CountTables) -> TrigramModel:
-    """The counts on the driver, for broadcasting; refused beyond MODEL_ROWS rows."""
+    """The counts on the driver, for small models; refused beyond MODEL_ROWS rows, where segment_beam takes the tables themselves."""
     rows = sum(t.limit(MODEL_ROWS + 1).count() for t in (lm.uni, lm.bi, lm.tri))
     if rows > MODEL_ROWS:
-        raise ValueError(f"the model has more than {MODEL_ROWS} rows; prune rare n-grams first")
+        raise ValueError(f"the model has more than {MODEL_ROWS} rows; give segment_beam its tables")
     uni = dict(lm.uni.toPandas().itertuples(index=False))
     bi = {(a, b): c for a, b, c in lm.bi.toPandas().itertuples(index=False)}
     tri = {(a, b, c): n for a, b, c, n in lm.tri.toPandas().itertuples(index=False)}
@@ -102,16 +109,129 @@ def segment_greedy(strings: DataFrame, vocab: set[str], longest: int = LONGEST)
     return strings.select("s").where("s is not null").distinct().mapInPandas(run, "s string, tokens array<string>")
 
 
-def segment_beam(strings: DataFrame, model: TrigramModel, longest: int = LONGEST, width: int = BEAM) -> DataFrame:
-    """(s, tokens, score) for the distinct values of column ``s``; concatenated tokens are the string."""
+def segment_beam(strings: DataFrame, model: TrigramModel | CountTables, longest: int = LONGEST, width: int = BEAM) -> DataFrame:
+    """(s, tokens, score) for the distinct values of column ``s``; concatenated tokens are the string.
+
+    A TrigramModel is broadcast. CountTables have no bound: they are joined with what the strings can use of them.
+    """
+    distinct = strings.select("s").where("s is not null").distinct()
+    if isinstance(model, CountTables):
+        return _beam_by_blocks(distinct, model, longest, width)
     lm = strings.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            found = [beam(s, lm.value, None, longest, width) if s else ([], 0.0) for s in pdf["s"]]
-            yield pd.DataFrame({"s": pdf["s"], "tokens": [t for t, _ in found], "score": [x for _, x in found]})
+            yield _decoded(pdf["s"], lm.value, longest, width)
+
+    return distinct.mapInPandas(run, DECODED)
+
+
+DECODED = "s string, tokens array<string>, score double"
+
+
+def _decoded(strings: Iterable[str], lm: TrigramModel, longest: int, width: int) -> pd.DataFrame:
+    found = [beam(s, lm, None, longest, width) if s else ([], 0.0) for s in strings]
+    return pd.DataFrame({"s": list(strings), "tokens": [t for t, _ in found], "score": [x for _, x in found]})
+
+
+def _edges(text: str, vocab: set[str], longest: int) -> list[list[str]]:
+    """At each start, the words that the decoder can put there: known ones and the single character."""
+    return [[text[i : i + n] for n in range(1, min(longest, len(text) - i) + 1) if n == 1 or text[i : i + n] in vocab] for i in range(len(text))] + [[]]
+
+
+def _pairs(edges: list[list[str]]) -> Iterator[tuple[str, str, int]]:
+    """Pairs of neighbours with the end of the second, start marks included."""
+    yield BOS, BOS, 0
+    yield from ((BOS, w, len(w)) for w in edges[0])
+    for i, words in enumerate(edges):
+        for a in words:
+            for b in edges[i + len(a)]:
+                yield a, b, i + len(a) + len(b)
+
+
+def _asked(block: int, state: tuple, grams: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """A row that carries a block's state, under a key of its own so that such rows are spread, and a row for each n-gram to look up."""
+    yield pd.DataFrame([(block, pickle.dumps(state), f"\0{block}", *[""] * (len(names) - 1))], columns=["block", "state", *names])
+    grams = list(grams)
+    for at in range(0, len(grams), CHUNK):
+        rows = pd.DataFrame(grams[at : at + CHUNK], columns=names)
+        rows.insert(0, "state", None)
+        rows.insert(0, "block", block)
+        yield rows
+
 
-    return strings.select("s").where("s is not null").distinct().mapInPandas(run, "s string, tokens array<string>, score double")
+def _looked_up(rows: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of ``_asked`` with their count ``c``; those that are not in the table go."""
+    found = rows.join(table.toDF(*names, "c"), names, "left")
+    return found.where("c is not null or state is not null").select("block", "state", *names, "c")
+
+
+def _per_block(rows: DataFrame, names: list[str], step: Callable[..., Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``step(block, state, counts, rows)`` for each block."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, counts, last = None, {}, None
+        for pdf in parts:
+            last = pdf
+            carries = pdf["state"].notna()
+            if carries.any():
+                state = pickle.loads(pdf["state"][carries].iloc[0])
+            found = pdf[~carries]
+            keys = found[names[0]] if len(names) == 1 else zip(*[found[n] for n in names], strict=True)
+            counts.update(zip(keys, (int(c) for c in found["c"]), strict=True))
+        yield from step(int(key[0]), state, counts, last)
+
+    return rows.groupBy("block").applyInPandas(run, schema)
+
+
+def _beam_by_blocks(distinct: DataFrame, lm: CountTables, longest: int, width: int) -> DataFrame:
+    """Blocks of strings meet the rows of each table that the decoder can ask for: words, then neighbours, then what follows a known pair.
+
+    A block's strings travel with its n-grams, each n-gram once a block, so that frequent ones are no hot keys.
+    """
+    one, two, three = ["w1"], ["w1", "w2"], ["w1", "w2", "w3"]
+    asks = "block bigint, state binary, " + "{} string"
+    schemas = [asks.format(" string, ".join(names)) for names in (one, two, three)]
+
+    def words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, chars = TaskContext.get().partitionId() << 32, [], 0
+
+        def given() -> Iterator[pd.DataFrame]:
+            grams = {s[i : i + n] for s in held for i in range(len(s)) for n in range(1, min(longest, len(s) - i) + 1)}
+            return _asked(block, (held,), [(w,) for w in grams | {BOS}], one)
+
+        for pdf in parts:
+            for s in pdf["s"]:
+                held.append(s)
+                chars += len(s)
+                if chars >= BLOCK_CHARS:
+                    yield from given()
+                    block, held, chars = block + 1, [], 0
+        if held:
+            yield from given()
+
+    def neighbours(block: int, state: tuple, uni: dict, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        vocab = set(uni) - {BOS, EOS}
+        return _asked(block, (*state, uni), {(a, b) for s in state[0] for a, b, _ in _pairs(_edges(s, vocab, longest))}, two)
+
+    def followers(block: int, state: tuple, bi: dict, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        vocab = set(state[1]) - {BOS, EOS}
+        grams = set()
+        for s in state[0]:
+            edges = _edges(s, vocab, longest)
+            grams.update((a, b, c) for a, b, end in _pairs(edges) if (a, b) in bi for c in edges[end] if c in vocab)
+        return _asked(block, (*state, bi), grams, three)
+
+    def cut(block: int, state: tuple, tri: dict, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        held, uni, bi = state
+        stats = int(rows["n_tokens"].iloc[0]), int(rows["n_types"].iloc[0])
+        yield _decoded(held, TrigramModel(uni, bi, tri, stats=stats), longest, width)
+
+    # sorted, so that a task that runs again makes the same blocks
+    found = _looked_up(distinct.sortWithinPartitions("s").mapInPandas(words, schemas[0]), lm.uni, one)
+    found = _looked_up(_per_block(found, one, neighbours, schemas[1]), lm.bi, two)
+    found = _looked_up(_per_block(found, two, followers, schemas[2]), lm.tri, three)
+    return _per_block(found.crossJoin(F.broadcast(lm.stats())), three, cut, DECODED)  # one row
 
 
 def typing_merges(words: Column, *seed: Column | str, probability: float = 0.08) -> Column:

@@ -665,7 +665,7 @@ def verdict_summary(spark, d):
 def checked(spark, d):
     train = split(spark, d)[0]
     v = vocab(spark, d)
-    model = segment.collect_model(ngram.train(train))
+    model = ngram.train(train)
     tokens = merged(spark, d).select(F.col("conv_id"), "turn", F.col("token_id").alias("pos"), "token")
     return editor.check_tokens(tokens, spelling.segmentation_vocabulary(v), v, model), train, v
 
@@ -678,7 +678,7 @@ def editor_token_check(spark, d):
 @query
 def segment_then_spell(spark, d):
     v = vocab(spark, d)
-    model = segment.collect_model(ngram.train(split(spark, d)[0]))
+    model = ngram.train(split(spark, d)[0])
     tokens = merged(spark, d).select("conv_id", "turn", F.col("token_id").alias("pos"), "token")
     return editor.check_tokens(tokens, v, v, model, restore=False).select("conv_id", "turn", "pos", "token", "corrected")
 
