@@ -89,6 +89,16 @@ def test_no_model_size_is_refused(spark, monkeypatch):
         assert f(spark, "/root/testdata/sf0.001").columns
 
 
+def test_dp_cuts_all_merged_tokens(spark):
+    d = "/root/testdata/sf0.001"
+    whole = segment.collect_model(ngram.train(catalog.split(spark, d)[0]))
+    got = {r["s"]: (r["tokens"], r["score"]) for r in catalog.QUERIES["segment_dp_merged"](spark, d).collect()}
+    assert set(got) == {r["s"] for r in catalog._merge_queries(spark, d).collect()} and got
+    for s, (tokens, score) in got.items():
+        want, value = segment.beam(s, whole)
+        assert tokens == " ".join(want) and score == pytest.approx(value, abs=2e-6)
+
+
 def test_greedy():
     assert segment.greedy("thecatsat", {"the", "cat", "cats", "sat", "a"}) == ["the", "cats", "a", "t"]
     assert segment.greedy("", {"a"}) == [] and segment.greedy("xy", set()) == ["x", "y"]

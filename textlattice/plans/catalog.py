@@ -414,6 +414,12 @@ def segment_dp(spark, d):
     return segment.segment_beam(strings, lm).select("s", F.array_join("tokens", " ").alias("tokens"), r6("score").alias("score"))
 
 
+@query
+def segment_dp_merged(spark, d):
+    """``segment_dp``, whose SQL is of toy strings, over all merged tokens under the trained model."""
+    return segment.segment_beam(_merge_queries(spark, d), ngram.train(split(spark, d)[0])).select("s", F.array_join("tokens", " ").alias("tokens"), r6("score").alias("score"))
+
+
 def _gold_pred(spark, d):
     c = read_table(spark, d, "conversations").withColumn("gold", N.words(F.col("text")))
     return c.withColumn("pred", F.transform(segment.typing_merges(F.col("gold"), F.col("conv_id"), F.col("turn")), lambda x: x["token"]))

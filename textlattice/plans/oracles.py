@@ -1,8 +1,8 @@
 """DuckDB SQL for the registered queries.
 
 Classes: full SQL over the tables for most; literal VALUES, worked out by hand, for decoders and parsers on small
-inputs. Without SQL (rows only): arc_classifier, arc_top3, arc_parse, tagging_benchmark, editor_token_check,
-segment_then_spell, alert_console, model_roundtrip; tests hold these against brute force.
+inputs. Without SQL (rows only): arc_classifier, arc_top3, arc_parse, tagging_benchmark, segment_dp_merged,
+editor_token_check, segment_then_spell, alert_console, model_roundtrip; tests hold these against brute force.
 """
 
 from __future__ import annotations
