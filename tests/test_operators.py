@@ -167,6 +167,40 @@ def test_hmm_goldens(spark):
     assert by[2] == (["DET", "NOUN", "VERB"], pytest.approx(-2.603473, abs=1e-6)) and by[3] == (["NOUN"], pytest.approx(7.013082, abs=1e-6)) and by[4] == ([], None)
 
 
+def test_tagging_benchmark_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    got = {r["metric"]: r["value"] for r in catalog.tagging_benchmark(spark, d).collect()}
+    train, test = catalog._halves(spark, d)
+    lines = {}
+    for r in test.orderBy("user_id", "pos").collect():
+        lines.setdefault(r["user_id"], []).append((r["word"], r["tag"]))
+    lm = segment.collect_model(ngram.train(catalog._lines(train)))
+    values = {}
+
+    def places(tokens):
+        return set(itertools.accumulate(map(len, tokens[:-1])))
+
+    def spans(tokens, tags):
+        return {(e - len(w), e): t for w, t, e in zip(tokens, tags, itertools.accumulate(map(len, tokens)), strict=True)}
+
+    cuts = {(name, u): f("".join(w for w, _ in line)) for u, line in lines.items() for name, f in (("greedy", lambda s: segment.greedy(s, lm.vocab)), ("dp", lambda s: segment.beam(s, lm)[0]))}
+    rows = spark.createDataFrame([(i, cuts[k]) for i, k in enumerate(cuts)], "user_id bigint, words array<string>")
+    tags = {}
+    for r in tagging.decode(rows, tagging.transitions(train), tagging.emissions(train)).orderBy("user_id", "pos").collect():
+        tags.setdefault(list(cuts)[r["user_id"]], []).append(r["pred_tag"])
+    for (name, u), tokens in cuts.items():
+        gold = [w for w, _ in lines[u]]
+        g, q = places(gold), places(tokens)
+        p, r = (len(g & q) / len(q), len(g & q) / len(g)) if g and q else (float(not g and not q),) * 2
+        true, pred = spans(gold, [t for _, t in lines[u]]), spans(tokens, tags[name, u])
+        right, hit = sum(pred.get(k) == t for k, t in true.items()), len(true.keys() & pred.keys())
+        each = {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else 0.0, "exact": g == q, "hmm_accuracy": right / len(true), "hmm_tag_err": (hit - right) / len(true), "hmm_seg_err": 1 - hit / len(true)}
+        for k, v in each.items():
+            values.setdefault(f"{name}_{k}", []).append(float(v))
+    assert set(got) == {*values, "mft_accuracy", "hmm_accuracy", "typing_f1"}
+    assert all(got[k] == pytest.approx(np.mean(v), abs=6e-5) for k, v in values.items())
+
+
 def test_boundary_metrics_and_reconcile(spark):
     rows = spark.createDataFrame([("the quick brown fox".split(), "thequick brown fox".split()), (["a"], ["a"]), (["ab"], ["a", "b"])], "g array<string>, p array<string>")
     m = [tuple(r[0]) for r in rows.select(tagging.boundary_metrics(tagging.boundaries(F.col("g")), tagging.boundaries(F.col("p")))).collect()]

@@ -519,15 +519,42 @@ def error_attribution(spark, d):
     return out.select("conv_id", "turn", "n", "correct", "tag_err", "seg_err", *[r6(f"{c}_rate").alias(f"{c}_rate") for c in ("correct", "tag_err", "seg_err")])
 
 
+def _segmented(test, words, cut, trans, emit, name):
+    """(metric, value) for each sequence: boundary metrics of the cuts of its unspaced words, and attribution after HMM tagging of them."""
+    gold = words.select("user_id", F.col("words").alias("gold"), F.array_join("words", "").alias("s"))
+    both = gold.join(cut.select("s", F.col("tokens").alias("pred")), "s")
+    m = tagging.boundary_metrics(tagging.boundaries(F.col("gold")), tagging.boundaries(F.col("pred")))
+    seg = {"precision": F.col("m.p"), "recall": F.col("m.r"), "f1": F.col("m.f1"), "exact": F.col("m.exact").cast("double")}
+    tagged = tagging.decode(both.select("user_id", F.col("pred").alias("words")), trans, emit).select("user_id", "pos", F.col("pred_tag").alias("tag"))
+    pred = tagging.spans(both, "pred", "user_id").join(tagged, ["user_id", "pos"])
+    true = tagging.spans(gold, "gold", "user_id").join(test.select("user_id", "pos", "tag"), ["user_id", "pos"])
+    rates = {"accuracy": F.col("correct_rate"), "tag_err": F.col("tag_err_rate"), "seg_err": F.col("seg_err_rate")}
+    parts = ((both.select(m.alias("m")), seg, f"{name}_"), (tagging.attribute(true, pred, "user_id"), rates, f"{name}_hmm_"))
+    long_rows = [rows.select(F.explode(F.array(*[F.struct(F.lit(prefix + k).alias("metric"), v.alias("value")) for k, v in of.items()])).alias("x")).select("x.*") for rows, of, prefix in parts]
+    return long_rows[0].unionByName(long_rows[1])
+
+
 @query
 def tagging_benchmark(spark, d):
-    """Macro means over sequences of MFT and HMM accuracy on gold words, and of the segmentation metrics."""
+    """Macro means over held-out sequences: MFT and HMM accuracy on gold words; for the greedy and the DP segmenter on
+    the unspaced words, boundary metrics, and end-to-end accuracy and error rates with the HMM. ``typing_f1`` is of the typing merges."""
     train, test = _halves(spark, d)
     mft = _mft(spark, d).groupBy("user_id").agg(F.avg((F.col("pred") == F.col("tag")).cast("double")).alias("a")).select(F.lit("mft_accuracy").alias("metric"), F.col("a").alias("value"))
-    lines = test.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))
-    hmm = tagging.decode(lines, tagging.transitions(train), tagging.emissions(train)).join(test, ["user_id", "pos"]).groupBy("user_id").agg(F.avg((F.col("pred_tag") == F.col("tag")).cast("double")).alias("a")).select(F.lit("hmm_accuracy").alias("metric"), F.col("a").alias("value"))
+    trans, emit = tagging.transitions(train), tagging.emissions(train)
+    lines = _lines(test)
+    hmm = tagging.decode(lines, trans, emit).join(test, ["user_id", "pos"]).groupBy("user_id").agg(F.avg((F.col("pred_tag") == F.col("tag")).cast("double")).alias("a")).select(F.lit("hmm_accuracy").alias("metric"), F.col("a").alias("value"))
     seg = seg_metrics(spark, d).select(F.lit("typing_f1").alias("metric"), F.col("f1").alias("value"))
-    return mft.unionByName(hmm).unionByName(seg).groupBy("metric").agg(F.round(F.avg("value"), 4).alias("value"))
+    out = mft.unionByName(hmm).unionByName(seg)
+    lexicon = {r["word"] for r in train.select("word").distinct().collect()}
+    strings = lines.select(F.array_join("words", "").alias("s"))
+    cuts = {"greedy": segment.segment_greedy(strings, lexicon), "dp": segment.segment_beam(strings, ngram.train(_lines(train)))}
+    for name, cut in cuts.items():
+        out = out.unionByName(_segmented(test, lines, cut, trans, emit, name))
+    return out.groupBy("metric").agg(F.round(F.avg("value"), 4).alias("value"))
+
+
+def _lines(rows):
+    return rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))
 
 
 @query
