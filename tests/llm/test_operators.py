@@ -348,6 +348,24 @@ def test_viterbi_against_all_labellings():
         assert tuple(got[a:b]) == tuple(y == 0 for y in best)
 
 
+def test_quality_is_fitted_on_long_documents_too(spark, monkeypatch):
+    long = "\n".join(f"Line {i} of words." for i in range(1001))
+    docs = spark.createDataFrame([(0, long), (1, "One line.\nAnother line.")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_crf", lambda sequences: seen.extend(sequences) or (None, None))
+    quality.fit(docs, labels)
+    assert [(len(x), q, n) for x, q, n in seen] == [(400, 0, 1001), (400, 0, 1001), (201, 0, 1001), (2, 1, 2)]
+
+
+def test_pieces_of_a_document_share_its_weight():
+    # without transitions to learn from, lines of one kind give the same weights whole or in pieces
+    rng = np.random.default_rng(3)
+    x, y = rng.random((1, quality.N_FEATURES)), rng.random((1, quality.N_FEATURES))
+    once, twice = quality.fit_crf([(x, 0, 1), (y, 1, 1)]), quality.fit_crf([(x, 0, 2), (x, 0, 2), (y, 1, 1)])
+    assert np.allclose(once[0], twice[0]) and np.allclose(once[1], twice[1])
+
+
 def test_language(spark):
     rng = random.Random(4)
     sounds = {"aa": "atoke", "bb": "ñuxizq"}

@@ -106,21 +106,23 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict, np.ndarray, np
     return out, x, n_words, bounds
 
 
-def fit_crf(sequences: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (feature) for boilerplate against content, and transitions (2, 2), from (line features, quality)."""
+def fit_crf(sequences: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (feature) for boilerplate against content, and transitions (2, 2), from (line features, quality, lines of the whole document)."""
     w, t = np.zeros(N_FEATURES), np.zeros((2, 2))
     if not sequences:
         return w, t
     sequences = sorted(sequences, key=lambda s: -len(s[0]))
     lengths = np.array([len(s[0]) for s in sequences])
     wide = np.zeros((len(sequences), lengths[0], N_FEATURES), np.float32)
-    for i, (x, _) in enumerate(sequences):
+    for i, (x, _, _) in enumerate(sequences):
         wide[i, : len(x)] = x
-    gold = np.array([1 - q for _, q in sequences])
+    gold = np.array([1 - q for _, q, _ in sequences])
+    whole = np.array([n for _, _, n in sequences])
+    part = lengths / whole
     mask = np.arange(lengths[0]) < lengths[:, None]
-    share = 0.5 / max(1, (gold == 0).sum()), 0.5 / max(1, (gold == 1).sum())
-    # Each document counts alike within its class, and both classes alike.
-    weight = np.where(gold == 1, share[1], share[0])[:, None] * mask / lengths[:, None]
+    share = 0.5 / max(1, part[gold == 0].sum()), 0.5 / max(1, part[gold == 1].sum())
+    # Each document counts alike within its class, whole or in pieces, and both classes alike.
+    weight = np.where(gold == 1, share[1], share[0])[:, None] * mask / whole[:, None]
     alive = [int((lengths > s).sum()) for s in range(lengths[0])]
     for _ in range(STEPS):
         unary = wide @ w
@@ -179,7 +181,7 @@ def viterbi(x: np.ndarray, bounds: np.ndarray, w: np.ndarray, t: np.ndarray) ->
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = FIT_DOCS, most_lines: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions. With labels of one class only, or none, all are zero and every line is content.
 
-    Sampled documents of more than ``most_lines`` lines with a word are left out of the fit.
+    Sampled documents of more than ``most_lines`` lines with a word are cut into consecutive sequences of so many.
     """
     known = slim(labels, id_col, label_col).toDF("doc_id", "q").where("doc_id is not null and q is not null").groupBy("doc_id").agg(F.min("q").cast("int").alias("q"))
     sizes = {int(r["q"] > 0): r["count"] for r in known.groupBy(F.expr("int(q > 0)").alias("q")).count().collect()}
@@ -194,11 +196,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out = []
             for i, j, data, offsets in blocks(batch.column(2)):
                 _, x, _, bounds = measure(data, offsets)
-                out += [x[a:b].astype("<f4").tobytes() if 0 < b - a <= most_lines else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                out += [x[a:b].astype("<f4").tobytes() if a < b else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "q", "x"])
 
     seen = sorted((r["doc_id"], int(r["q"] > 0), bytes(r["x"])) for r in rows.mapInArrow(run, "doc_id bigint, q int, x binary").collect() if r["x"])
-    return fit_crf([(np.frombuffer(x, "<f4").reshape(-1, N_FEATURES), q) for _, q, x in seen])
+    lines = [(np.frombuffer(x, "<f4").reshape(-1, N_FEATURES), q) for _, q, x in seen]
+    return fit_crf([(x[at : at + most_lines], q, len(x)) for x, q in lines for at in range(0, len(x), most_lines)])
 
 
 def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep_share: float = KEEP_SHARE) -> DataFrame:
