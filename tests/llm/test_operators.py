@@ -385,6 +385,21 @@ def test_language(spark):
     assert {r["doc_id"] for r in language.accepted(docs, language.fit(docs, "lang", "doc_id", "text")).collect()} == set(range(84)) - {80, 81}
 
 
+def test_every_language_is_learned_and_mixtures_have_no_limit(spark):
+    rng = random.Random(5)
+    names = [f"l{k:02}" for k in range(70)]
+    words = {x: ["".join(chr(0x4E00 + 20 * k + rng.randrange(20)) for _ in range(4)) for _ in range(20)] for k, x in enumerate(names)}
+    # the last ones by count come last by name too
+    rows = [(i, " ".join(words[x]), x) for i, x in enumerate([*names, *names[:64]])]
+    mixed = " ".join(w for x in names[-5:] for w in words[x])
+    docs = spark.createDataFrame([*rows, (200, mixed, None)], "doc_id bigint, text string, lang string")
+    model = language.fit(docs, "lang", "doc_id", "text")
+    assert model[0] == names
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    assert all(got[i]["lang_pred"] == x for i, _, x in rows)
+    assert sorted(got[200]["languages"]) == names[-5:] and sum(got[200]["shares"]) == pytest.approx(1)
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows, labels = [], []

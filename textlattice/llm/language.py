@@ -1,9 +1,9 @@
 """Language identification by mixture inference.
 
 Each language has a smoothed model of hashed byte trigrams. A document's words are drawn from a mixture of
-languages: expectation-maximisation estimates the proportions, and the language set is the one of one to
-three languages (nested in order of proportion) with the highest likelihood less half a log of the number
-of words for each further language.
+languages: expectation-maximisation estimates the proportions, and the language set (nested in order of
+proportion) is the one with the highest likelihood less half a log of the number of words for each further
+language. Sets of up to three are always tried, larger ones as long as the last language was worth its price.
 """
 
 from __future__ import annotations
@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, crc_remainder, owner, per_range, slim, strings, word_spans
+from .common import BLOCK_BYTES, LOWER, blocks, crc_remainder, owner, per_range, slim, strings, word_spans
 
 #: Documents a language that the trigram models are fitted on, in expectation (chosen by a hash of the id).
 FIT_DOCS = 400
-#: Languages learned at most, the most frequent first.
+#: Languages up to which blocks of texts have their full size; with more, blocks are smaller.
 LANGUAGES = 64
 BUCKETS = 1 << 16
 ROUNDS = 6
-MOST = 3
+#: Sets of so many languages are tried for every text.
+TRIED = 3
 UND = "und"
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -44,16 +45,16 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, lang_col: str, id_col: str, text_col: str, per_language: int = FIT_DOCS) -> tuple[list[str], np.ndarray]:
-    """Names, and log likelihoods (language, bucket). Counts are summed by Spark; at most LANGUAGES * BUCKETS rows come back."""
+    """Names, and log likelihoods (language, bucket). Counts are summed by Spark; BUCKETS rows a language come back at most."""
     rows = slim(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r["lang"] for r in sizes)
+    sizes = rows.groupBy("lang").count()
+    sizes = sorted((r["lang"], per_language / r["count"]) for r in sizes.collect())
+    names = [lang for lang, _ in sizes]
     if not names:
         return [], np.zeros((0, BUCKETS + 1), np.float32)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], per_language / r["count"]).otherwise(share)
-    chosen = rows.where((F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 24)) / (1 << 24)) < share)
+    shares = docs.sparkSession.createDataFrame(sizes, "lang string, share double")
+    drawn = (F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 24)) / (1 << 24)) < F.col("share")
+    chosen = rows.join(F.broadcast(shares), "lang").where(drawn).select("doc_id", "text", "lang")  # a row a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), BUCKETS + 1), np.int64)
@@ -108,12 +109,19 @@ def infer(logs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     chosen[np.arange(n_docs), best] = True
     final, value = chosen.astype(float), alone[np.arange(n_docs), best].copy()
     price = 0.5 * np.log(np.maximum(np.diff(first), 2))
-    for m in range(2, min(MOST, n_lang) + 1):
-        active = rank < m
-        s, like = mixture(words, first, active.astype(float))
-        better = like - price * (m - 1) > value
-        value = np.where(better, like - price * (m - 1), value)
-        chosen[better], final[better] = active[better], s[better]
+    grows = every_doc = np.arange(n_docs)
+    for m in range(2, n_lang + 1):
+        tried = every_doc if m <= TRIED else grows
+        if not len(tried):
+            break
+        active = rank[tried] < m
+        among = np.isin(every_doc, tried)
+        bounds = np.concatenate([[0], np.cumsum(np.diff(first)[tried])])
+        s, like = mixture(words if among.all() else words[:, among[owner(first)]], bounds, active.astype(float))
+        like -= price[tried] * (m - 1)
+        better = like > value[tried]
+        grows = tried[better]
+        value[grows], chosen[grows], final[grows] = like[better], active[better], s[better]
     # The score of a single language is its posterior against the others.
     one = chosen.sum(1) == 1
     post = np.exp(np.maximum(alone - alone.max(1, keepdims=True), -700))
@@ -122,6 +130,11 @@ def infer(logs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     return final, chosen
 
 
+def block_bytes(n_lang: int) -> int:
+    """Bytes of text whose words have likelihoods for all languages at once."""
+    return max(1, BLOCK_BYTES * LANGUAGES // max(n_lang, LANGUAGES))
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", fold: int = 3, held: int = 1) -> DataFrame:
     """Per row: predicted language, score, and the language set with its shares, largest first.
 
@@ -130,13 +143,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     empty table gives no rows; other columns are ignored.
     """
     names, logs = model
-    shared = docs.sparkSession.sparkContext.broadcast(logs)  # LANGUAGES * BUCKETS floats at most, 16 MB
+    shared = docs.sparkSession.sparkContext.broadcast(logs)  # BUCKETS floats a language, 256 kB
     rows = slim(docs, id_col, text_col).toDF("doc_id", "text").withColumn("held_out", crc_remainder("doc_id", fold) == held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred, score, sets, shares = [], [], [], []
-            for i, j, data, offsets in blocks(batch.column(1)):
+            for i, j, data, offsets in blocks(batch.column(1), block_bytes(len(names))):
                 letter = per_range(_ASCII_LETTER[data], offsets) > 0
                 other = per_range(data >= 128, offsets) > 0
                 for d in np.flatnonzero(~letter & other):
@@ -169,7 +182,7 @@ def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [np.zeros(0, bool)]
-            for i, j, data, offsets in blocks(batch.column(at)):
+            for i, j, data, offsets in blocks(batch.column(at), block_bytes(len(names))):
                 letter = per_range(_ASCII_LETTER[data], offsets) > 0
                 for d in np.flatnonzero(~letter & (per_range(data >= 128, offsets) > 0)):
                     letter[d] = bool(_LETTER.search(strings(batch.column(at).slice(i + d, 1))[0]))
