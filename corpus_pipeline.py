@@ -13,7 +13,7 @@ from textlattice.llm.common import checkpointed, crc_remainder, table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with no letter, or no text, go; all others are in one of the learned languages or a mixture of them."""
+    """Documents with no letter, or no text, go (``und``); all others stay, in a learned language or not: the likeliest set is never empty."""
     return language.accepted(docs, language.fit(docs.where(crc_remainder("doc_id", 3) != 1), "lang", "doc_id", "text"))
 
 
