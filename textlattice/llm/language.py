@@ -173,7 +173,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all columns, that ``identify`` does not call ``und``.
 
-    The likelihoods decide nothing here: each text has a likeliest language, so one in no learned language stays too. If no language was learned, nothing can be told and every row with a letter stays.
+    The likelihoods decide nothing here: each text has a likeliest language, so one in no learned language
+    stays too. If no language was learned, nothing can be told and every row with a letter stays.
     """
     names, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(logs)
