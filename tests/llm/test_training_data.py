@@ -340,6 +340,46 @@ def test_packing(spark):
     assert packing.pack_sequences(make(spark, [])).count() == 0
 
 
+def test_packing_places_pieces_anew_by_the_same_rule():
+    rng = random.Random(6)
+    for most in (4096, 5):
+        packer, sizes, anew, tokens = packing.Packer(0, 64, most), [], 0, 0
+        give_up = packer.give_up
+
+        def watched(packer=packer, give_up=give_up):
+            nonlocal anew
+            emptiest = int(np.flatnonzero(packer.levels)[0])
+            before = packer.n_open, int((packer.levels * np.arange(65)).sum())
+            give_up()
+            anew += emptiest
+            assert packer.n_open < before[0] and int((packer.levels * np.arange(65)).sum()) <= before[1]
+
+        packer.give_up = watched
+        for k in range(400):
+            size = min(500, int(rng.paretovariate(0.8) * 6))
+            packer.add(k, np.arange(size, dtype="<u4").tobytes())
+            tokens += size
+            assert packer.n_open <= most
+        packer.finish()
+        for r in packer.rows:
+            sizes.append(r[2])
+        filled = defaultdict(int)
+        for r in packer.rows:
+            filled[r[5]] += r[2]
+        last = [n for n in filled.values() if n != 64]
+        assert sum(sizes) == tokens and packer.n_open == 0 and sorted(last) == [1 << b for b in range(6) if tokens % 64 >> b & 1]
+        assert most == 5 or anew < tokens / 2
+
+
+def test_packing_null_ids_repeats_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 5, "x"), (None, None, 5, "x")], "doc_id bigint, text string, sequence_id int, length string").coalesce(1)
+    rows = packing.pack_sequences(docs).collect()
+    total = Counter()
+    for r in rows:
+        total[r["doc_id"]] += r["length"]
+    assert total == {1: 6, None: 1} and {r["doc_tokens"] for r in rows if r["doc_id"] is None} == {1}
+
+
 def test_packing_minimises_sum_of_squares():
     packer = packing.Packer(0, 16)
     rng = random.Random(1)

@@ -2,9 +2,12 @@
 
 A document longer than a window fills whole windows first. What remains goes into the open window whose
 fill level keeps the sum over all levels of (number of windows at that level) squared smallest; ties go to
-the fullest. The counts are one level array. Windows still open at the end of a partition, or beyond a
-buffer of open ones, are cut anew into full windows, and the very last tokens into powers of two, which
-need no padding.
+the fullest. The counts are one level array.
+
+Open windows are closed by the same rule: while a task has more of them than it may hold, or at its end more than one, the
+emptiest is given up and each of its pieces is placed anew, whole where it fits. Where it fits nowhere it is cut at a
+window's end, what is left opens a window, and the rule chooses that window by the levels that this leaves. The
+tokens of the very last open window are cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import slim, strings
 
 WINDOW = 2048
-#: Open windows that a task holds at most; beyond it they are cut anew into full ones, nothing is lost.
+#: Open windows that a task holds at most (4 MB a thousand, at most); beyond it the emptiest is placed anew, nothing is lost.
 OPEN_WINDOWS = 4096
 END = (1).to_bytes(4, "little")
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -88,41 +91,69 @@ class Packer:
             self.place((doc, whole, ids[4 * whole :], total), rest)
 
     def place(self, piece: tuple, rest: int) -> None:
+        """Put a piece of ``rest`` tokens whole into an open window or a new one."""
         w, levels = self.window, self.levels
         # Change of the sum of squares when a window goes from level h to h + rest; full windows don't count.
         change = 2 - 2 * levels[: w - rest + 1] + 2 * levels[rest:]
         change[-1] = 1 - 2 * levels[w - rest]
         change[0] = 2 * levels[rest] + 1 if rest < w else 0
         change[1:][levels[1 : w - rest + 1] == 0] = np.iinfo(np.int64).max
-        h = w - rest - int(np.argmin(change[::-1]))
+        self._into(w - rest - int(np.argmin(change[::-1])), piece, rest)
+        while self.n_open > self.most_open:
+            self.give_up()
+
+    def replace(self, piece: tuple, rest: int) -> None:
+        """Put a piece into open windows only: whole where it fits, else cut at a window's end; the sum of squares chooses."""
+        w, levels = self.window, self.levels
+        fits = np.flatnonzero(levels[1 : w - rest + 1]) + 1
+        if len(fits):
+            after = levels[np.minimum(fits + rest, w)]
+            change = np.where(fits + rest == w, 1, 2 + 2 * after) - 2 * levels[fits]
+        else:
+            fits = np.flatnonzero(levels[1:]) + 1  # every one of these ends within the piece
+            change = 2 - 2 * levels[fits] + 2 * levels[fits + rest - w]
+        h = int(fits[::-1][np.argmin(change[::-1])])
+        room = w - h
+        if rest <= room:
+            self._into(h, piece, rest)
+            return
+        doc, start, ids, total = piece
+        self._into(h, (doc, start, ids[: 4 * room], total), room)
+        self._into(0, (doc, start + room, ids[4 * room :], total), rest - room)
+
+    def _into(self, h: int, piece: tuple, rest: int) -> None:
         pieces = []
         if h:
             pieces = self.stacks[h].pop()
-            levels[h] -= 1
+            self.levels[h] -= 1
             self.n_open -= 1
         pieces.append(piece)
-        if h + rest == w:
+        if h + rest == self.window:
             self.emit(pieces)
             return
         self.stacks.setdefault(h + rest, []).append(pieces)
-        levels[h + rest] += 1
+        self.levels[h + rest] += 1
         self.n_open += 1
-        if self.n_open > self.most_open:
-            self.recut()
-
-    def recut(self, last: bool = False) -> None:
-        """Cut all open windows anew into full ones; the rest stays open, or at last goes to powers of two."""
-        w, sizes = self.window, None
-        pieces = [p for h in sorted(self.stacks, reverse=True) for run in self.stacks[h] for p in run]
-        self.stacks.clear()
-        self.levels[:] = 0
-        self.n_open = 0
+
+    def _take(self) -> list[tuple]:
+        """The pieces of the emptiest open window, which is open no more."""
+        h = int(np.flatnonzero(self.levels)[0])
+        self.levels[h] -= 1
+        self.n_open -= 1
+        return self.stacks[h].pop()
+
+    def give_up(self) -> None:
+        for piece in self._take():
+            self.replace(piece, len(piece[2]) // 4)
+
+    def finish(self) -> None:
+        """Close all open windows; the last one's tokens go into powers of two."""
+        while self.n_open > 1:
+            self.give_up()
+        pieces = self._take() if self.n_open else []
         left = sum(len(p[2]) // 4 for p in pieces)
-        sizes = [w] * (left // w)
-        rest = left % w
-        sizes += [1 << b for b in range(w.bit_length(), -1, -1) if rest >> b & 1] if last else [rest] * (rest > 0)
         queue, current = iter(pieces), None
-        for size in sizes:
+        for size in (1 << b for b in range(self.window.bit_length(), -1, -1) if left >> b & 1):
             out, need = [], size
             while need:
                 doc, start, ids, total = current or next(queue)
@@ -130,11 +161,7 @@ class Packer:
                 out.append((doc, start, ids[: 4 * take], total))
                 current = (doc, start + take, ids[4 * take :], total) if take < len(ids) // 4 else None
                 need -= take
-            if size == w or last:
-                self.emit(out)
-            else:
-                self.stacks[size] = [out]
-                self.levels[size] = self.n_open = 1
+            self.emit(out)
 
 
 def pack_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str = "byte_bpe_50k") -> DataFrame:
@@ -143,7 +170,8 @@ def pack_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Each scan task packs what it reads, so nothing is shuffled; a task that runs again gives the same rows.
     A sequence's id is the task's number times 2**36 plus a count within the task. A null text is empty,
     so its document is the single end id; repeated rows and null ids are packed as they are; an empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. A very long text is cut like any other that is longer than a window. The windows that a
+    rule ties for are told apart by their fill; of equal levels the window that was opened or filled last is taken.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +187,7 @@ def pack_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 packer.add(doc, encoder.encode(text) + END)
                 if len(packer.rows) >= 20_000:
                     yield out()
-        packer.recut(last=True)
+        packer.finish()
         yield out()
 
     return slim(docs, id_col, text_col).mapInArrow(run, SCHEMA)
