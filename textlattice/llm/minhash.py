@@ -6,9 +6,15 @@ the full shingle sets; linked documents form components.
 
 Documents of equal sets are one class from the start. Classes that share a bucket, directly or through others,
 are a family; only stars to a bucket's smallest id are needed to find families, no pairs. A family is split into blocks of a
-bounded size. Full sets are compared within each block, and between the blocks of families that are not yet one
-component; a comparison puts out a spanning forest of its links. So no proposed link is lost, and no task or row count
-follows the size of a family.
+bounded size, and full sets are compared within each block. What is left are links between blocks of one family:
+
+1. Some rounds compare one member of each component so far, dealt anew into blocks, which joins the blocks of a family of
+   near copies of one text.
+2. A bucket whose members are still of several components may hold links that were not seen. Its members outside its largest
+   component are compared with all of its members, block by block; buckets of one component are not looked at again.
+
+A comparison puts out a spanning forest of its links. So no proposed link is lost, no task follows the size of a family or bucket, and
+rows follow the members outside their bucket's largest component, not the pairs of blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from .common import LOWER, U64, ByteHash, blocks, checkpointed, forget, mix, sli
 BANDS, ROWS = 30, 5
 #: Documents in a block of a family; two blocks are compared at once.
 BLOCK = 2048
+#: Rounds that compare one member of each component.
+ROUNDS = 3
 PERMUTATIONS = BANDS * ROWS // 2
 _A = np.random.default_rng(3).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * U64(2) + U64(1)
 _B = np.random.default_rng(4).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -120,6 +128,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole sequence where there are fewer words. Sets are linked if 100 * intersection >= ``percent`` * union. Null and blank
     texts have an empty set, are linked with nothing and kept. Rows of equal id are one document in links. Rows with a null id are
     linked with nothing and have component null and kept true. An empty table gives no rows; other columns are ignored.
+    Texts of any length are read whole. The smallest id decides all ties. The sketch and the classes stay in the shared folder, as the
+    result reads them; all other tables made on the way are deleted.
     """
     rows = slim(docs, id_col, text_col).toDF("doc_id", "text")
     known = checkpointed(sketch(rows, size), "sketch")
@@ -134,24 +144,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = checkpointed(with_sets(rows, placed, size), "members")
-    # first within blocks; then, in families of several blocks that hold several components, between them
     within = members.select("family", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "rep", "shingles")
     links = checkpointed(link(within, percent), "links")
     comps = components(links)
-    wide = members.where("blocks > 1").select("family", "rep", "blocks", "block", "shingles").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_ = wide.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("family")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    across = wide.join(open_, "family", "left_semi").select("family", "block", other.alias("o"), "rep", "shingles").where("o <> block")
-    across = across.select("family", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"), "rep", "shingles")
-    more = checkpointed(link(across, percent), "links")
-    if more.limit(1).count():
-        comps = components(links.unionByName(more))
+    forget(links)
+    forget(found)
+    wide = members.where("blocks > 1").select("rep", "family").join(comps, "rep", "left").select("rep", "family", F.coalesce("comp", "rep").alias("comp"))
+    wide = checkpointed(wide, "labels")
+    if open_families(wide).limit(1).count():
+        sets = members.where("blocks > 1").select("rep", "shingles")
+        wide = joined_blocks(wide, sets, percent)
+        edges = checkpointed(link(across(wide, sets, buckets), percent).where("a <> b"), "links")
+        wide = relabelled(wide, edges)
+        forget(edges)
+    forget(members)
+    comps = comps.join(wide.select("rep", F.lit(True).alias("w")), "rep", "left").where("w is null").select("rep", "comp").unionByName(wide.select("rep", "comp"))
     classes = heads.select(F.col("class").alias("k"), "rep").join(comps.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left").select("k", F.coalesce("comp", "rep").alias("comp"))
     out = known.join(classes, (known["class"] == classes["k"]) & known["doc_id"].isNotNull(), "left")
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def open_families(labels: DataFrame) -> DataFrame:
+    """(family) of those (rep, family, comp) rows whose family holds several components."""
+    return labels.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("family")
+
+
+def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rep, family, comp) after the (a, b) links between components."""
+    if not edges.limit(1).count():
+        return labels
+    new = components(edges).toDF("old", "new")
+    out = checkpointed(labels.join(new, labels["comp"] == new["old"], "left").select("rep", "family", F.coalesce("new", "comp").alias("comp")), "labels")
+    forget(labels)
+    return out
+
+
+def joined_blocks(labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, family, comp) after some rounds in which one member of each component, another each time, is compared."""
+    for turn in range(ROUNDS):
+        drawn = F.xxhash64("rep", F.lit(turn))
+        lead = labels.join(open_families(labels), "family", "left_semi").groupBy("family", "comp").agg(F.min(F.struct(drawn.alias("h"), "rep")).alias("m")).select("family", "comp", "m.rep")
+        sizes = lead.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+        dealt = lead.join(sizes, "family").select("family", F.pmod(drawn, F.col("n")).cast("int").alias("i"), "comp", "rep")
+        rows = dealt.join(sets.hint("merge"), "rep").select("family", "i", F.col("i").alias("j"), F.lit(0).alias("side"), F.col("comp").alias("rep"), "shingles")
+        edges = checkpointed(link(rows, percent), "links")
+        known = labels
+        labels = relabelled(labels, edges)
+        forget(edges)
+        if labels is known:
+            break
+    return labels
+
+
+def across(labels: DataFrame, sets: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(family: the bucket, i, j, side, rep: the component, shingles) rows that compare a bucket's members outside its largest component with all.
+
+    Only buckets with members of several components; side 0 are all members, in blocks j, side 1 the ones outside, in blocks i.
+    """
+    mine = labels.join(open_families(labels), "family", "left_semi").select("rep", "comp")
+    held = buckets.join(mine.hint("merge"), "rep").select("band", "rep", "comp")
+    sizes = held.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"))
+    sizes = sizes.where("comps > 1").select("band", F.col("main.comp").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("other_blocks"))
+    rows = held.join(sizes, "band")
+
+    def block(count: str):
+        return F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
+
+    def each(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    every = rows.select("band", each("other_blocks").alias("i"), block("all_blocks").alias("j"), F.lit(0).alias("side"), "rep", "comp")
+    others = rows.where("comp <> main").select("band", block("other_blocks").alias("i"), each("all_blocks").alias("j"), F.lit(1).alias("side"), "rep", "comp")
+    return every.unionByName(others).join(sets.hint("merge"), "rep").select(F.col("band").alias("family"), "i", "j", "side", F.col("comp").alias("rep"), "shingles")
+
+
 def with_sets(rows: DataFrame, placed: DataFrame, size: int) -> DataFrame:
     """The placed documents with their full sets, packed."""
     # nothing bounds the number of placed documents, so they are never broadcast
@@ -171,27 +238,40 @@ def with_sets(rows: DataFrame, placed: DataFrame, size: int) -> DataFrame:
 def intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of the intersections of all sets of x with all of y, from indicator matrices, some shingles at a time."""
     out = np.zeros((len(x), len(y)), np.float32)
-    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+
+    def flat(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (vx, rx), (vy, ry) = flat(x), flat(y)
     if x is y:  # only shingles of two sets or more count
-        values, n = np.unique(np.concatenate(x), return_counts=True)
+        values, n = np.unique(vx, return_counts=True)
         both = values[n > 1]
-        np.fill_diagonal(out, 0)
-
-    def indicator(sets, part):
-        m = np.zeros((len(sets), len(part)), np.float32)
-        for k, s in enumerate(sets):
-            at = np.searchsorted(part, s)
-            at[at == len(part)] = 0
-            m[k, at[part[at] == s]] = 1
+    else:
+        both = np.intersect1d(vx, vy)
+
+    def placed(values, rows):
+        """Row and column of each value that counts, by column, and where each run of columns begins."""
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        hit = np.flatnonzero(both[at] == values) if len(both) else np.zeros(0, np.int64)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        return rows[hit], at[hit], np.searchsorted(at[hit], np.arange(0, len(both) + columns, columns))
+
+    px = placed(vx, rx)
+    py = px if x is y else placed(vy, ry)
+
+    def indicator(p, sets, k, width):
+        rows, at, cuts = p
+        part = slice(cuts[k], cuts[k + 1])
+        m = np.zeros((len(sets), width), np.float32)
+        m[rows[part], at[part] - k * columns] = 1
         return m
 
-    for c in range(0, len(both), columns):
-        part = both[c : c + columns]
-        low, high = part[0], part[-1]
-        xs = [s[np.searchsorted(s, low) : np.searchsorted(s, high, "right")] for s in x]
-        mx = indicator(xs, part)
-        my = mx if x is y else indicator([s[np.searchsorted(s, low) : np.searchsorted(s, high, "right")] for s in y], part)
-        out += mx @ my.T
+    for k in range(-(-len(both) // columns)):
+        width = min(columns, len(both) - k * columns)
+        mx = indicator(px, x, k, width)
+        out += mx @ (mx if x is y else indicator(py, y, k, width)).T
+    if x is y:
+        np.fill_diagonal(out, 0)
     return out
 
 
