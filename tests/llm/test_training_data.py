@@ -103,15 +103,70 @@ def test_loser_tree_and_front_coding():
     assert out == sorted(itertools.chain(*runs))
 
 
-def test_fm_index_counts():
+def test_fm_index_matching_statistics():
     rng = np.random.default_rng(3)
-    text = np.append(rng.integers(1, 4, 300), 0).astype(np.uint64)
-    index = fmindex.FMIndex(text, 8)
-    ends = np.arange(5, 300)
-    low, high = index.search(ends, 5)
-    counts = Counter(tuple(text[e - 5 : e]) for e in range(5, 301))
-    for e, n in zip(ends, high - low, strict=True):
-        assert n == (counts[tuple(text[e - 5 : e])] if counts[tuple(text[e - 5 : e])] > 1 else 0)
+    text = np.append(np.repeat(rng.integers(1, 4, 150), rng.integers(1, 4, 150)), 0).astype(np.uint64)
+    index = fmindex.FMIndex(text, np.zeros(len(text), np.int64), 8)
+    ends = np.arange(5, len(text) - 1)
+    matched, low, high = index.statistics(index.codes(text), ends, 5)
+
+    def count(e, n):
+        return sum((text[k : k + n] == text[e - n : e]).all() for k in range(len(text) - n + 1))
+
+    for e, m, a, b in zip(ends, matched, low, high, strict=True):
+        want = max((n for n in range(1, 6) if count(e, n) > 1), default=0)
+        assert m == want and b - a == (count(e, 5) if want == 5 else 0)
+    assert 0 < (matched == 5).sum() < len(ends) and index.heads.size < len(text)
+
+
+def test_rank_over_runs():
+    rng = np.random.default_rng(4)
+    values = np.repeat(rng.integers(0, 6, 80), rng.integers(1, 5, 80))
+    runs = fmindex.RunLengths(values, 6)
+    for c in range(6):
+        at = np.arange(len(values) + 1)
+        assert (runs.rank(np.full(len(at), c), at) == np.concatenate([[0], np.cumsum(values == c)])).all()
+
+
+@pytest.mark.parametrize("heavy", [2, 32])
+def test_one_phrase_in_all_documents(spark, monkeypatch, heavy):
+    """A phrase shorter than a passage, in other surroundings everywhere: its anchors must not bring all documents to one bucket."""
+    monkeypatch.setattr(repeats, "HEAVY", heavy)
+    rng = random.Random(7)
+    phrase = " ".join(f"phrase{k}" for k in range(44))
+    texts = [" ".join(f"x{rng.random()}" for _ in range(30)) + " " + phrase + " " + " ".join(f"y{rng.random()}" for _ in range(30)) for _ in range(240)]
+    texts += [texts[3], texts[7] + " end", "start " + texts[9]]
+    method = repeats.Method(repeats.word_units, fmindex.GRAM, fmindex.encode, fmindex.resolver(50))
+    asked = repeats.remove_repeats(make(spark, texts), method, "doc_id", "text", asked_only=True)
+    per_part = Counter()
+    for r in asked.where("blob is not null").collect():
+        per_part[r["part"]] += len(repeats.unpack(r["blob"])[0])
+    raw = [(t or "").encode().split() for t in texts]
+    want = [(i, len(u), sum(gone)) for i, (u, gone) in enumerate(zip(raw, removed(list(enumerate(raw))), strict=True))]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in fmindex.remove_repeated_words(make(spark, texts)).collect())
+    assert got == want
+    if heavy == 2:
+        assert max(per_part.values()) < 2 * sum(per_part.values()) / len(per_part)
+    raw = [t.encode() for t in texts]
+    want = [(i, len(u), sum(gone)) for i, (u, gone) in enumerate(zip(raw, removed(list(enumerate(raw))), strict=True))]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeated_bytes(make(spark, texts)).collect())
+    assert got == want
+
+
+def test_labels_are_dealt_evenly(spark):
+    from pyspark.sql import functions as F
+
+    labels = repeats.even_labels(7, 30)
+    parts = [r["p"] for r in spark.createDataFrame([(x,) for x in labels], "x int").select(F.pmod(F.hash("x"), F.lit(7)).alias("p")).collect()]
+    assert parts == [k % 7 for k in range(30)] and len(set(labels)) == 30
+
+
+def test_chunks_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 2000)
+    texts = corpus(12)
+    raw = [(t or "").encode().split() for t in texts]
+    want = [(i, len(u), sum(gone)) for i, (u, gone) in enumerate(zip(raw, removed(list(enumerate(raw))), strict=True))]
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in fmindex.remove_repeated_words(make(spark, texts)).collect()) == want
 
 
 def near_brute(texts, ids, size, percent):
@@ -146,6 +201,28 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_blocks_of_one_family_are_not_all_paired(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    seen = []
+    across = minhash.across
+
+    def counted(*args):
+        out = across(*args)
+        seen.append((out.count(), out.select("family", "i", "j").distinct().count()))
+        return out
+
+    monkeypatch.setattr(minhash, "across", counted)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base[:j % 190] + [f"n{j}"] + base[j % 190 + 1 :]) for j in range(400)]
+    # members of the family that are alike in 0.6 or so of their shingles only
+    texts += [" ".join(base[:150] + [f"s{j}x{k}" for k in range(50)]) for j in range(3)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(spark, texts), size=4).collect()}
+    assert got == {i: c for i, (_, c) in near_brute(texts, range(len(texts)), 4, 80).items()}
+    assert set(got.values()) == {0, 400, 401, 402}
+    # 26 blocks are 325 pairs of blocks and 10,000 rows; the three strays meet the members of their buckets only
+    assert seen and all(rows < 2500 for rows, _ in seen)
+
+
 def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(make(spark, [])).count() == 0
     rows = minhash.near_duplicates(make(spark, ["a b c d e f", None, "", "a b c d e f"], [None, 1, 2, 3])).collect()

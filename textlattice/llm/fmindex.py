@@ -1,10 +1,12 @@
 """Repeated word passages by a compressed FM-index per shard.
 
 A shard is one bucket of the exchange in ``repeats``: contexts that hold the same anchors. Its index is a
-Burrows-Wheeler transform in a wavelet matrix of bit vectors with block ranks. The documents' contexts are streamed
-against it: backward search extends each match to the left one word at a time, for all open passages at once,
-until the match is one suffix only (then no other text has it) or as long as the threshold. The interval of a
-passage that reaches the threshold holds all its occurrences, and so the smallest document id.
+Burrows-Wheeler transform, compressed by run lengths: a wavelet matrix of bit vectors with block ranks over the heads of its
+runs, a bit vector of where they start, and for each place the context that it came from, in 32 bits. Neither the text nor the
+suffix array is kept. The documents' contexts are streamed against it: backward search extends each match to the left
+one word at a time, for all open places at once. The words that it can take while the match occurs anywhere else are the
+place's matching statistic, counted up to the threshold; the interval of a place that reaches it holds all its occurrences,
+and so the smallest document id.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ class BitVector:
 
 class WaveletMatrix:
     def __init__(self, values: np.ndarray, levels: int):
-        self.levels, self.vectors, self.zeros = levels, [], []
+        self.size, self.levels, self.vectors, self.zeros = len(values), levels, [], []
         for level in range(levels - 1, -1, -1):
             bits = (values >> level) & 1
             self.vectors.append(BitVector(bits))
@@ -65,6 +67,7 @@ class WaveletMatrix:
             values = np.concatenate([values[bits == 0], values[bits == 1]])
 
     def descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the symbol's occurrences before each place end among all values, put in the order of their last level."""
         for k, vector in enumerate(self.vectors):
             ones = vector.ones(at)
             bit = (symbol >> (self.levels - 1 - k)) & 1
@@ -72,40 +75,70 @@ class WaveletMatrix:
         return at
 
 
+class RunLengths:
+    """A sequence of symbols below ``size`` by its runs, with ranks: repetitive shards have far fewer runs than places."""
+
+    def __init__(self, values: np.ndarray, size: int):
+        change = np.ones(len(values), np.uint8)
+        change[1:] = values[1:] != values[:-1]
+        self.starts = np.flatnonzero(change).astype(np.int32)
+        self.begins = BitVector(change)
+        self.symbol = values[self.starts].astype(np.int32)
+        self.heads = WaveletMatrix(self.symbol, max(1, int(size - 1).bit_length()))
+        runs = np.arange(len(self.starts))
+        lengths = np.zeros(len(runs) + 1, np.int32)
+        lengths[1 + self.heads.descend(self.symbol, runs)] = np.diff(np.append(self.starts, len(values)))
+        self.total = np.cumsum(lengths, dtype=np.int32)  # lengths of the runs in the matrix' last order, before each
+        self.first = self.heads.descend(np.arange(size), np.zeros(size, np.int64))
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Occurrences of the symbol before each place."""
+        last = np.maximum(self.begins.ones(at) - 1, 0)  # the run that the place before is in
+        whole = self.total[self.heads.descend(symbol, last)] - self.total[self.first[symbol]]
+        return whole + np.where(self.symbol[last] == symbol, at - self.starts[last], 0)
+
+
 class FMIndex:
-    """Index over texts of positive symbols; 0 separates texts."""
-
-    def __init__(self, text: np.ndarray, depth: int):
-        alphabet, self.text = np.unique(text, return_inverse=True)
-        self.order = suffix_array(self.text, depth)
-        size = len(alphabet)
-        last = self.text[self.order - 1]  # the first suffix wraps round to the end, a separator
-        self.matrix = WaveletMatrix(last, max(1, int(size - 1).bit_length()))
-        before = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=size))])
-        symbols = np.arange(size)
-        # rank(c, i) = descend(c, i) - descend(c, 0); the shift to c's suffixes is folded in
-        self.shift = before[:-1] - self.matrix.descend(symbols, np.zeros(size, np.int64))
+    """Index over texts of positive symbols; 0 separates texts. ``source``: what each place of the text came from."""
+
+    def __init__(self, text: np.ndarray, source: np.ndarray, depth: int):
+        self.alphabet, coded = np.unique(text, return_inverse=True)
+        order = suffix_array(coded, depth)
+        size = len(self.alphabet)
+        self.length = len(text)
+        self.last = RunLengths(coded[order - 1], size)  # the first suffix wraps round to the end, a separator
+        self.heads = self.last.heads
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(coded, minlength=size))])[:-1]
+        self.source = source[order].astype(np.int32)
+
+    def codes(self, text: np.ndarray) -> np.ndarray:
+        """The index's numbers of a text's symbols, all of which it holds."""
+        return np.searchsorted(self.alphabet, text).astype(np.int32)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the matches with one more symbol at their left."""
-        both = self.matrix.descend(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.tile(self.shift[symbol], 2)
+        both = self.last.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.tile(self.before[symbol], 2)
         return both[: len(symbol)], both[len(symbol) :]
 
-    def search(self, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the ``length`` symbols before each place of the text; (0, 0) where they occur there alone."""
-        low, high = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+    def statistics(self, codes: np.ndarray, end: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each place of a streamed text that is indexed itself, the longest string before it that occurs twice or more.
+
+        Lengths up to ``threshold``, at which a search stops; then its interval too, else (0, 0).
+        """
+        matched, low, high = np.zeros(len(end), np.int16), np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
         for a in range(0, len(end), LANES):
             lanes = np.arange(a, min(a + LANES, len(end)))
-            lo, hi = np.zeros(len(lanes), np.int64), np.full(len(lanes), len(self.text), np.int64)
-            for step in range(1, length + 1):
-                lo, hi = self.extend(self.text[end[lanes] - step], lo, hi)
+            lo, hi = np.zeros(len(lanes), np.int64), np.full(len(lanes), self.length, np.int64)
+            for step in range(1, threshold + 1):
+                lo, hi = self.extend(codes[end[lanes] - step], lo, hi)
                 open_ = hi - lo > 1
                 if not open_.all():
                     lanes, lo, hi = lanes[open_], lo[open_], hi[open_]
                 if not len(lanes):
                     break
+                matched[lanes] = step
             low[lanes], high[lanes] = lo, hi
-        return low, high
+        return matched, low, high
 
 
 def encode(c: Contexts) -> bytes:
@@ -131,14 +164,14 @@ def resolver(length: int):
         text = np.zeros(int(n.sum()) + len(n), np.uint64)
         at = np.concatenate([[0], np.cumsum(n + 1)])
         text[np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))] = gather(symbols, first[one], n)
-        found = FMIndex(text, length)
+        found = FMIndex(text, np.minimum(owner(at), len(lowest) - 1), length)
         passage = np.arange(int(n_passages.sum())) - np.repeat(start[:-1], n_passages)
-        low, high = found.search(np.repeat(at[:-1], n_passages) + passage + length, length)
+        matched, low, high = found.statistics(found.codes(text), np.repeat(at[:-1], n_passages) + passage + length, length)
         result = np.repeat(lowest, n_passages)
-        several = np.flatnonzero(high > low)
+        several = np.flatnonzero(matched >= length)
         if len(several):
             # intervals of one length are equal or disjoint
-            ids = lowest[np.minimum(owner(at), len(lowest) - 1)[found.order]]
+            ids = lowest[found.source]
             lows, which = np.unique(low[several], return_inverse=True)
             highs = np.zeros(len(lows), np.int64)
             highs[which] = high[several]

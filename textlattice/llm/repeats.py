@@ -4,17 +4,23 @@ A passage is ``LENGTH`` consecutive units of one document. Each passage has an a
 grams, the one with the smallest hash, leftmost if tied. Equal passages have equal anchors at the same place in
 them. Consecutive passages with one anchor form a run; a run's units are its context.
 
-1. Documents are dealt into chunks by a hash. Each scan task sends the distinct (anchor, chunk) pairs it
-   saw, eight bytes each, to the anchor's bucket. A very common anchor is one pair a chunk.
-2. A bucket tells each chunk which of its anchors other chunks hold too.
+1. Documents are dealt into chunks by a hash, as many as their bytes call for. Each scan task sends the distinct (anchor, chunk)
+   pairs it saw, eight bytes each, to the anchor's bucket. A very common anchor is one pair a chunk.
+2. A bucket tells each chunk which of its anchors other chunks hold too, and which of these are heavy: held by many chunks.
 3. A chunk keeps the runs whose anchor occurs in another chunk or another of its own documents. Their
-   distinct contexts go to the anchor's bucket with the smallest and largest id in the chunk that has them.
+   distinct contexts go to the anchor's bucket with the smallest and largest id in the chunk that has them. A run at a heavy anchor
+   is first split by where its passages have the anchor, and each part is dealt by all units that its passages share: a common
+   phrase in ever other surroundings then meets its own surroundings only.
 4. A bucket finds, for each passage of each context, the smallest document id (its resolver's job: a merge of sorted
    suffix runs, or an FM-index), and answers each chunk.
 5. A chunk removes the units of passages that a document with a smaller id holds.
 
-Steps 1, 3 and 5 read all documents, the last two from one exchange; steps 2 and 4 read only what they are sent. Nothing is sampled or capped, and
-no exchange has a key whose rows grow with a group of copies: contexts are distinct within a chunk before they are sent.
+Steps 1, 3 and 5 read all documents, the last two from one exchange; steps 2 and 4 read only what they are sent. Nothing is sampled or capped.
+Contexts are distinct within a chunk before they are sent, so copies do not grow a bucket; what can still grow one are passages that differ
+from each other in the ``LENGTH`` / ``SPLIT`` outermost units only.
+
+Grams, contexts and words are compared by 64-bit hashes (grams across chunks by 41 to 48 bits of them, which can only send too much): of n different
+strings two are equal by accident with odds of about n * n / 2**65, for contexts within one bucket; that is 3e-8 for a million.
 """
 
 from __future__ import annotations
@@ -28,13 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, ByteHash, RollHash, _BYTE, blocks, owner, per_range, slim, word_spans
+from .common import U64, ByteHash, RollHash, _BYTE, blocks, mix, owner, per_range, slim, word_spans
 
 LENGTH = 50
 #: Anchors kept in a task before they are sent on: 24 MB.
 HELD = 3_000_000
+#: Text bytes of a chunk, on average; a chunk is held by one task at a time.
+CHUNK_BYTES = 16 << 20
+#: Chunks that hold an anchor from which on it is heavy, and the parts that a run is then split into.
+HEAVY, SPLIT = 32, 7
 NO_ID = np.iinfo(np.int64).max
-_LOW = U64((1 << 20) - 1)
+#: Chunks up to which they have labels of their own (a literal in the plan); more are many a partition, and even without.
+LABELLED = 1 << 15
 
 
 @dataclass
@@ -74,13 +85,15 @@ class Runs:
     anchor: np.ndarray
     key: np.ndarray
     context: np.ndarray  # hash of the context's units
+    deal: np.ndarray  # what the bucket comes from
 
 
-def runs_of(units: Units, gram: int, length: int = LENGTH) -> Runs:
+def runs_of(units: Units, gram: int, length: int = LENGTH, heavy: Callable[[np.ndarray], np.ndarray] | None = None) -> Runs:
+    """All runs; those whose key is ``heavy`` in parts, with the ``deal`` that such a part goes by."""
     n = len(units.values)
     if n < length:
         none = np.zeros(0, np.int64)
-        return Runs(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Runs(none, none, none, none, *[none.astype(np.uint64)] * 3)
     roll = RollHash(units.values)
     grams = roll.all_of(gram)
     # 32 bits of hash, then the place: the same choice wherever the passage stands
@@ -96,8 +109,25 @@ def runs_of(units: Units, gram: int, length: int = LENGTH) -> Runs:
     change[1:-1] = (at[1:] != at[:-1]) | ~valid[1:] | ~valid[:-1]
     start, last = np.flatnonzero(change[:-1] & valid), np.flatnonzero(change[1:] & valid)
     end = last + length
+    anchor = at[start]
+    key = deal = grams[anchor]
+    parted = heavy(key) if heavy else np.zeros(len(key), bool)
+    if parted.any():
+        # passages by the units before their anchor: first * width to (first + 1) * width - 1 of them in a part
+        width = -(-(length - gram + 1) // SPLIT)
+        most, fewest = (anchor - start) // width, (anchor - (end - length)) // width
+        count = np.where(parted, most - fewest + 1, 1)
+        run = np.repeat(np.arange(len(key)), count)
+        part = np.repeat(fewest, count) + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        own = parted[run]
+        anchor, key = anchor[run], key[run]
+        low, high = np.maximum(start[run], anchor - (part + 1) * width + 1), np.minimum(end[run] - length, anchor - part * width)
+        start, end = np.where(own, low, start[run]), np.where(own, high + length, end[run])
+        deal = key.copy()
+        a, p = anchor[own], part[own]
+        deal[own] = mix(key[own] ^ roll.ranges(a - p * width, a - (p + 1) * width + 1 + length))
     doc = np.searchsorted(units.first, start, "right") - 1
-    return Runs(doc, start, end, at[start], grams[at[start]], roll.ranges(start, end))
+    return Runs(doc, start, end, anchor, key, roll.ranges(start, end), deal)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -182,37 +212,35 @@ RESULT = "doc_id bigint, n_units bigint, n_removed bigint, n_spans bigint, kept_
 WITH_TEXT = RESULT + ", kept string"
 
 
-@dataclass
-class Found:
-    """Runs of all documents of a chunk, places counted over the whole chunk."""
-
-    doc: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    anchor: np.ndarray
-    key: np.ndarray
-    context: np.ndarray
-
-
-def remove_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str, length: int = LENGTH, with_text: bool = False, asked_only: bool = False) -> DataFrame:
     """One row a document: units, removed units, maximal removed runs, digest of what stays (``with_text``: and that itself).
 
     A null id counts as larger than all others. All five steps are one plan; both passes over the chunks read one exchange.
+    Only the bytes are counted before, for the number of chunks. ``asked_only``: what step 3 sends, to look at.
     """
     spark = docs.sparkSession
-    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
-    # One label for each partition of an exchange, so that no two chunks or buckets share one by accident.
-    labels = even_labels(spark, n)
-    place = {int(x): i for i, x in enumerate(labels)}
     rows = slim(docs, id_col, text_col).toDF("doc_id", "text")
-    rows = rows.select(F.element_at(F.lit(labels), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int") + 1).alias("chunk"), "doc_id", "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = parts * max(1, -(-size // (CHUNK_BYTES * parts)))
+    bits = max(16, (n - 1).bit_length())  # of a pair's 64, for the chunk
+    low = U64((1 << bits) - 1)
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    if n <= LABELLED:
+        # labels that an exchange deals evenly, so that no two chunks share a partition by accident while others have none
+        labels = even_labels(parts, n)
+        chunk = F.element_at(F.lit(labels), chunk + 1)
+    else:
+        labels = range(n)
+    place = {int(x): i for i, x in enumerate(labels)} if n <= LABELLED else labels
+    rows = rows.select(chunk.alias("chunk"), "doc_id", "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
 
         def out():
             v = np.unique(np.concatenate(held))
-            bucket = ((v >> U64(20)) % U64(n)).astype(np.int32)
+            bucket = ((v >> U64(bits)) % U64(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             v, cuts = v[order], np.searchsorted(bucket[order], np.arange(n + 1))
             some = np.flatnonzero(np.diff(cuts))
@@ -222,7 +250,7 @@ def remove_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str,
             chunk = np.array([place[x] for x in batch.column(0).to_pylist()], np.uint64)
             for i, _, data, offsets in blocks(batch.column(1)):
                 runs = runs_of(method.units(data, offsets), method.gram, length)
-                held.append(np.unique((runs.key & ~_LOW) | chunk[i + runs.doc]))
+                held.append(np.unique((runs.key & ~low) | chunk[i + runs.doc]))
                 count += len(held[-1])
                 if count >= HELD:
                     yield out()
@@ -232,35 +260,44 @@ def remove_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str,
 
     def shared(group: pa.Table) -> pa.Table:
         v = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("pairs").to_pylist()]))
-        same = (v[1:] >> U64(20)) == (v[:-1] >> U64(20))
-        both = np.zeros(len(v), bool)
-        both[1:] |= same
-        both[:-1] |= same
-        v = v[both]
-        chunk = (v & _LOW).astype(np.int64)
+        heads = _heads(v & ~low)
+        holders = np.repeat(np.diff(np.append(heads, len(v))), np.diff(np.append(heads, len(v))))
+        v, holders = v[holders > 1], holders[holders > 1]
+        chunk = (v & low).astype(np.int64)
         order = np.argsort(chunk, kind="stable")
-        v, cuts = v[order] & ~_LOW, np.searchsorted(chunk[order], np.arange(n + 1))
+        # the last bit of a key tells that it is heavy
+        v, cuts = ((v & ~low) | (holders >= HEAVY).astype(np.uint64))[order], np.searchsorted(chunk[order], np.arange(n + 1))
         some = np.flatnonzero(np.diff(cuts))
         return pa.table({"chunk": pa.array([labels[c] for c in some], pa.int32()), "keys": pa.array([v[cuts[c] : cuts[c + 1]].tobytes() for c in some], pa.binary())})
 
+    def among(keys: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        keys = np.sort(keys)
+
+        def test(key: np.ndarray) -> np.ndarray:
+            if not len(keys):
+                return np.zeros(len(key), bool)
+            key = key & ~low
+            return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+
+        return test
+
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, kinds = ["part", "chunk", "blob"], [pa.int32(), pa.int32(), pa.binary()]
         text, number = _combine(left.column("text")), _numbers(left.column("doc_id"))
-        parts, symbols, shift = [], [], 0
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("keys").to_pylist())])
+        heavy = keys[keys & U64(1) == 1] & ~low
+        known, split = among(keys & ~low), among(heavy)
+        found, symbols, shift = [], [], 0
         for i, _, data, offsets in blocks(text):
             units = method.units(data, offsets)
-            r = runs_of(units, method.gram, length)
-            parts.append((r.doc + i, r.start + shift, r.end + shift, r.anchor + shift, r.key & ~_LOW, r.context))
+            r = runs_of(units, method.gram, length, split)
+            found.append((r.doc + i, r.start + shift, r.end + shift, r.anchor + shift, r.key & ~low, r.context, r.deal & ~low))
             symbols.append(units.symbols)
             shift += len(units.symbols)
         out: list[tuple] = []
-        if parts:
-            f = Found(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+        if found:
+            f = Runs(*(np.concatenate(p) for p in zip(*found, strict=True)))
             symbols = np.concatenate(symbols)
-            known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("keys").to_pylist())]))
-            hit = np.zeros(len(f.key), bool)
-            if len(known):
-                hit = known[np.minimum(np.searchsorted(known, f.key), len(known) - 1)] == f.key
+            hit = known(f.key)
             # anchors in several documents of this chunk
             order = np.argsort(f.key, kind="stable")
             heads = _heads(f.key[order])
@@ -268,43 +305,53 @@ def remove_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str,
                 d = f.doc[order]
                 several = np.maximum.reduceat(d, heads) != np.minimum.reduceat(d, heads)
                 hit[order] |= np.repeat(several, np.diff(np.append(heads, len(d))))
-            sel = np.flatnonzero(hit)
-            f = Found(f.doc[sel], f.start[sel], f.end[sel], f.anchor[sel], f.key[sel], f.context[sel])
+            f = Runs(*(x[hit] for x in (f.doc, f.start, f.end, f.anchor, f.key, f.context, f.deal)))
             mine = number[f.doc]
             order = np.argsort(f.context, kind="stable")
             heads = _heads(f.context[order])
             if len(heads):
+                chunk = place[left.column("chunk")[0].as_py()]
+                if len(heavy):
+                    out.append((labels[chunk], chunk, None, heavy.tobytes()))
                 least, most = np.minimum.reduceat(mine[order], heads), np.maximum.reduceat(mine[order], heads)
                 one = order[heads]
-                bucket = ((f.key[one] >> U64(20)) % U64(n)).astype(np.int64)
+                bucket = ((f.deal[one] >> U64(bits)) % U64(n)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
-                one, least, most, cuts = one[by], least[by], most[by], np.searchsorted(bucket[by], np.arange(n + 1))
-                chunk = place[left.column("chunk")[0].as_py()]
-                for b in np.flatnonzero(np.diff(cuts)):
-                    part = slice(cuts[b], cuts[b + 1])
-                    o = one[part]
+                one, least, most, bucket = one[by], least[by], most[by], bucket[by]
+                edges = np.append(_heads(bucket), len(bucket))
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    o = one[a:b]
                     size = f.end[o] - f.start[o]
-                    out.append((labels[b], chunk, method.encode(Contexts(f.context[o], f.key[o], least[part], most[part], f.anchor[o] - f.start[o], size, gather(symbols, f.start[o], size)))))
-        columns = list(zip(*out, strict=True)) or [[]] * 3
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(names, columns, kinds, strict=True)})
+                    blob = method.encode(Contexts(f.context[o], f.key[o], least[a:b], most[a:b], f.anchor[o] - f.start[o], size, gather(symbols, f.start[o], size)))
+                    out.append((labels[int(bucket[a])], chunk, blob, None))
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(["part", "chunk", "blob", "heavy"], columns, kinds, strict=True)})
 
     def resolve(group: pa.Table) -> pa.Table:
-        chunk, context, lo, hi, least = method.resolve(list(zip(group.column("chunk").to_pylist(), group.column("blob").to_pylist(), strict=True)))
-        order = np.lexsort((context, chunk))
-        chunk, context, lo, hi, least = chunk[order], context[order], lo[order], hi[order], least[order]
-        some, cuts = np.unique(chunk, return_index=True)
-        cuts = np.append(cuts, len(chunk))
-        return pa.table({"chunk": pa.array([labels[c] for c in some], pa.int32()), "answer": pa.array([pack(context[a:b], lo[a:b].astype(np.int16), hi[a:b].astype(np.int16), least[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        rows = list(zip(group.column("chunk").to_pylist(), group.column("blob").to_pylist(), group.column("heavy").to_pylist(), strict=True))
+        out = [(labels[c], None, heavy) for c, _, heavy in rows if heavy]  # a chunk's note to itself
+        received = [(c, blob) for c, blob, _ in rows if blob]
+        if received:
+            chunk, context, lo, hi, least = method.resolve(received)
+            order = np.lexsort((context, chunk))
+            chunk, context, lo, hi, least = chunk[order], context[order], lo[order], hi[order], least[order]
+            some, cuts = np.unique(chunk, return_index=True)
+            cuts = np.append(cuts, len(chunk))
+            out += [(labels[int(c)], pack(context[a:b], lo[a:b].astype(np.int16), hi[a:b].astype(np.int16), least[a:b]), None) for c, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)]
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(["chunk", "answer", "heavy"], columns, [pa.int32(), pa.binary(), pa.binary()], strict=True)})
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        answers = [unpack(x) for x in right.column("answer").to_pylist()]
+        answers = [unpack(x) for x in right.column("answer").to_pylist() if x]
+        split = among(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("heavy").to_pylist() if x)]))
         context, lo, hi, least = (np.concatenate(x) for x in zip(*answers, strict=True)) if answers else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
         order = np.argsort(context, kind="stable")
         context, lo, hi, least = context[order], lo[order].astype(np.int64), hi[order].astype(np.int64), least[order]
         ids, number, out = left.column("doc_id").to_pylist(), _numbers(left.column("doc_id")), []
         for i, _, data, offsets in blocks(_combine(left.column("text"))):
             units = method.units(data, offsets)
-            r = runs_of(units, method.gram, length)
+            r = runs_of(units, method.gram, length, split)
             a, b = np.searchsorted(context, r.context, "left"), np.searchsorted(context, r.context, "right")
             piece, run = gather(np.arange(len(context)), a, b - a), np.repeat(np.arange(len(a)), b - a)
             smaller = least[piece] < number[i + r.doc[run]]
@@ -327,20 +374,37 @@ def remove_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str,
         return pa.table({c: pa.array(x, t) for c, x, t in zip(names, columns, kinds, strict=True)})
 
     keys = rows.select("chunk", "text").mapInArrow(anchors, "bucket int, pairs binary").groupBy("bucket").applyInArrow(shared, "chunk int, keys binary")
-    asked = rows.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(contexts, "part int, chunk int, blob binary")
-    answers = asked.groupBy("part").applyInArrow(resolve, "chunk int, answer binary")
+    asked = rows.groupBy("chunk").cogroup(keys.groupBy("chunk")).applyInArrow(contexts, "part int, chunk int, blob binary, heavy binary")
+    if asked_only:
+        return asked
+    answers = asked.groupBy("part").applyInArrow(resolve, "chunk int, answer binary, heavy binary")
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(remove, WITH_TEXT if with_text else RESULT)
 
 
-def even_labels(spark, n: int) -> list[int]:
-    """n whole numbers that a hash exchange of n partitions deals to one partition each."""
-    found: dict[int, int] = {}
-    low, step = 0, 16 * n
-    while len(found) < n:
-        for r in spark.range(low, low + step).select(F.col("id").cast("int").alias("x"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("x").alias("x")).collect():
-            found.setdefault(r["p"], r["x"])
-        low, step = low + step, 2 * step
-    return [found[p] for p in range(n)]
+def spark_hash(values: np.ndarray) -> np.ndarray:
+    """Spark's hash of 32-bit whole numbers, by which an exchange deals them (32-bit Murmur3, seed 42)."""
+    def rotate(x, by):
+        return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+    #: The constants of the hash function.
+    k = rotate(values.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = rotate(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def even_labels(parts: int, n: int) -> list[int]:
+    """n whole numbers, the k-th of which a hash exchange deals to partition k modulo ``parts``."""
+    each, size = -(-n // parts), 16 * n + 64
+    while True:
+        part = spark_hash(np.arange(size, dtype=np.int32)).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        first = np.searchsorted(part[order], np.arange(parts + 1))
+        if np.diff(first).min() >= each:
+            return [int(order[first[k % parts] + k // parts]) for k in range(n)]
+        size *= 2
 
 
 def _heads(ordered: np.ndarray) -> np.ndarray:
