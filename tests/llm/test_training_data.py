@@ -343,7 +343,10 @@ def test_gradients_against_differences():
 
 def test_inference_gives_the_scores_of_training():
     net, x = pii.Tagger(np.random.default_rng(1)), np.random.default_rng(2).integers(0, 128, (5, 40))
-    assert np.allclose(net.label_scores(x).transpose(1, 0, 2), net.scores(x)[0], atol=1e-5)
+    lengths = np.array([40, 40, 33, 2, 1])
+    there, back = net.label_scores(x, lengths)
+    for i, n in enumerate(lengths):
+        assert np.allclose(there[:n, i] + back[:n, i][::-1], net.scores(x[i : i + 1, :n])[0][0], atol=1e-5)
 
 
 def test_best_path_against_all_labellings():
@@ -362,7 +365,7 @@ def test_skipping_certain_characters_changes_no_path():
     rng, net = random.Random(8), pii.train()
     texts = ["".join(pii._example(rng)[0] for _ in range(rng.randint(0, 9))) for _ in range(40)] + ["", "4" * 700, "a" * 900]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    u = pii.window_scores(net, pii.codes("".join(texts)), offsets)
+    u = pii.window_scores(net, pii.codes("".join(texts)), offsets[:-1], offsets[1:])
     for scores in (u, np.random.default_rng(1).normal(0, 3, u.shape).astype(np.float32)):
         assert (pii.best_path(scores, offsets, net.p["t"]) == pii.best_path(scores, offsets, net.p["t"], skip=False)).all()
     assert pii.certain(u, offsets, net.p["t"]).mean() > 0.1
@@ -370,12 +373,30 @@ def test_skipping_certain_characters_changes_no_path():
 
 def test_windows_cover_every_character_once(monkeypatch):
     class Echo:
-        def label_scores(self, x):
-            return np.repeat(x.T[:, :, None], pii.LABELS, 2).astype(np.float32)
+        def label_scores(self, x, length):
+            steps = np.repeat(x.T[:, :, None], pii.LABELS, 2).astype(np.float32)
+            return steps, np.zeros_like(steps)
 
     sizes = [0, 1, pii.WINDOW, pii.WINDOW + 1, 5 * pii.STRIDE + 3, 0]
     offsets, values = np.concatenate([[0], np.cumsum(sizes)]), np.arange(sum(sizes))
-    assert (pii.window_scores(Echo(), values, offsets)[:, 0] == values).all()
+    assert (pii.window_scores(Echo(), values, offsets[:-1], offsets[1:])[:, 0] == values).all()
+
+
+def test_only_characters_near_an_anchor_can_be_in_a_span():
+    net, rng = pii.train(), random.Random(3)
+    filler = " ".join("".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(300))
+    texts = [filler, "x" * 500 + " jane (at) example.org " + filler, "", filler + "7"]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    near = pii.around(texts, offsets, pii.REACH)
+    want = [any(abs(i - m.start()) <= pii.REACH and i < m.start() + pii.REACH for m in re.finditer(r"[0-9@]|(?<![a-z])at(?![a-z])", t)) for t in texts for i in range(len(t))]
+    assert near.tolist() == want and 0 < near.sum() < len(near) / 4
+    # the path over whole texts, in which the other characters can only be outside, is the same
+    scores = pii.window_scores(net, pii.codes("".join(texts)), *pii.stretches(pii.around(texts, offsets, pii.REACH + pii.CONTEXT), offsets))
+    scores[~near] = [0, *[-1e3] * (pii.LABELS - 1)]
+    whole = pii.best_path(scores, offsets, net.p["t"], skip=False)
+    assert (pii.text_labels(net, texts, offsets) == whole).all() and not whole[~near].any() and whole.any()
+    # no span can be added that reaches beyond, wherever it was found
+    assert not pii.plausible("jane dot example", 0) and not pii.plausible("1" * 40 + "@" + "a" * 30 + ".org", 0) and pii.plausible("jane at example dot org", 0)
 
 
 def test_personal_data_repeats_null_ids_and_clashing_names(spark):

@@ -3,7 +3,9 @@
 The network is trained in numpy on labelled spans: sentences with addresses and numbers, many in forms that no base pattern
 takes (``bob at mail dot org``, ``10[.]0[.]0[.]1``, numbers that run together), and look-alikes, made from a seed.
 
-Every text is cut into overlapping windows and the network gives every character of it label scores; where windows overlap, a
+A span that is added has ``REACH`` characters at most and holds an anchor: a digit, ``@`` or the word ``at``. That is a hard constraint of
+the decoder: characters further than that from every anchor of their text can only be outside and have no other label. All others,
+with some context, are read in overlapping windows, in which the network gives each character label scores; where windows overlap, a
 character takes those of the window in which it lies furthest from an edge. One Viterbi path under the transitions is then found
 over all scores of the text, as if it stood between two outside characters. Most of that path is known at once:
 where no entity over a character can be worth more than none, the character is outside on the best path (``certain``), so the
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from .common import slim, strings
 
 KINDS = ["email", "ip", "card", "phone"]
-WINDOW, STRIDE = 256, 208
-HIDDEN, EMBED = 12, 12
-#: Characters that are labelled at once (a longer text alone), windows that the network takes at once, stretches searched at once.
-BLOCK, BATCH, LANES = 1 << 18, 512, 2048
+WINDOW, STRIDE = 896, 848
+HIDDEN, EMBED = 8, 8
+#: Characters of an added span at most, and characters around those that can be in one that windows show as well.
+REACH, CONTEXT = 64, 24
+#: Characters that are labelled at once, those of them that are told certain at once (a longer text alone), windows that the network takes at once, stretches searched at once.
+BLOCK, PIECE, BATCH, LANES = 1 << 20, 1 << 13, 1024, 2048
 SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -41,6 +45,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
+_ANCHOR = re.compile(r"[0-9@]|(?<![a-z])at(?![a-z])", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -101,7 +106,7 @@ for _k in range(4):
 def codes(text: str) -> np.ndarray:
     """A class for each code point: ASCII as itself, letters beyond it as 1, all else as 2."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < 128, points, np.where(points < 0x2000, 1, 2)).astype(np.int64)
+    return np.where(points < 128, points, np.where(points < 0x2000, 1, 2)).astype(np.uint8)
 
 
 def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
@@ -155,21 +160,17 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
             text = text[:-1] + pick(" ", " ", ". ", ", ", "\n", "!! ", "*** ", "$$$ ")
         elif r < 0.55:
             text += other() + pick(" ", " ", ". ", "!! ")
-    return text[: WINDOW * 2], [s for s in spans if s[1] <= WINDOW * 2]
+    return text, spans
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    """The network's activation: rises from -1 at -3 to 1 at 3, smooth, and several times cheaper than a hyperbolic tangent."""
-    x = np.clip(x, -3, 3)
-    q = x * x
-    return x * (27 + q) / (27 + 9 * q)
+    """The network's activation, linear between -1 and 1: one cheap operation where a hyperbolic tangent takes most of the time."""
+    return np.clip(x, -1, 1)
 
 
 def slope(x: np.ndarray) -> np.ndarray:
     """The derivative of ``squash``."""
-    q = np.minimum(x * x, 9)
-    d = (9 - q) / (3 + q)
-    return d * d / 9
+    return (np.abs(x) < 1).astype(x.dtype)
 
 
 def _log_sum(v: np.ndarray, axis: int) -> np.ndarray:
@@ -180,7 +181,7 @@ def _log_sum(v: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     """The network: embeddings, an LSTM each way (the second reads backwards), label scores, transitions. All arrays are float32.
 
-    Gates are (1 + squash(x / 2)) / 2. Transitions are kept within ``BOUND`` of 0, so that scores decide and not habits.
+    Gates are (1 + squash(0.4 x)) / 2. Transitions are kept within ``BOUND`` of 0, so that scores decide and not habits.
     """
 
     BOUND = 2.0
@@ -195,7 +196,7 @@ class Tagger:
 
     @staticmethod
     def _half() -> np.ndarray:
-        return np.repeat(np.array([0.5, 1], np.float32), [3 * HIDDEN, HIDDEN])
+        return np.repeat(np.array([0.4, 1], np.float32), [3 * HIDDEN, HIDDEN])
 
     def scores(self, codes_: np.ndarray):
         """Label scores (batch, time, label), and what the gradients need. Arrays of both directions are in their own order of time."""
@@ -260,8 +261,11 @@ class Tagger:
         np.add.at(g["e"], codes_.ravel(), g.pop("x").reshape(-1, EMBED))
         return float((total - path).mean()), g
 
-    def label_scores(self, codes_: np.ndarray) -> np.ndarray:
-        """``scores`` alone, (time, batch, label), in buffers that are used again at every step."""
+    def label_scores(self, codes_: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``scores`` of windows of given lengths, none longer than the one before: what each direction adds, (step, window, label).
+
+        At each step only the windows that are as long take part; the second direction begins at each window's own end.
+        """
         h, p, half = HIDDEN, self.p, self._half()
 
         def by_gate(v):
@@ -269,60 +273,91 @@ class Tagger:
 
         into = [by_gate(p["e"] @ p["w"][d] + p["c"][d]) for d in (0, 1)]  # (gate, code, feature)
         onto = by_gate(p["u"])
-        n, steps = codes_.shape
-        columns = np.ascontiguousarray(codes_.T)
-        out = np.empty((2, steps, n, h), np.float32)
+        n, steps = len(codes_), int(length[0])
+        back = np.take_along_axis(codes_, np.maximum(length[:, None] - 1 - np.arange(steps), 0), 1)
+        columns = [np.ascontiguousarray(c[:, :steps].T).astype(np.intp) for c in (codes_, back)]
+        out = np.zeros((2, steps, n, h), np.float32)
         hidden, cell, small = (np.zeros((2, n, h), np.float32) for _ in range(3))
-        a, q, z = np.empty((4, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32), np.empty((4, n, h), np.float32)
-
-        def squash_into(x, q):
-            np.clip(x, -3, 3, out=x)
-            np.multiply(x, x, out=q)
-            q += 27
-            x *= q
-            q *= 9
-            q -= 216  # 27 + 9 x**2
-            x /= q
-
-        gates = a[:3]
-        for s in range(steps):
+        a, z = np.empty((4, 2, n, h), np.float32), np.empty((4, n, h), np.float32)
+        alive = np.searchsorted(-length, -np.arange(steps), "left").tolist()
+        for s, k in enumerate(alive):
+            if k < n:  # go on with fewer windows
+                n = k
+                hidden, cell, small = hidden[:, :k].copy(), cell[:, :k].copy(), small[:, :k].copy()
+                a, z = np.empty((4, 2, k, h), np.float32), np.empty((4, k, h), np.float32)
             np.matmul(hidden, onto, out=a)
-            a[:, 0] += into[0].take(columns[s], 1, out=z, mode="clip")
-            a[:, 1] += into[1].take(columns[steps - 1 - s], 1, out=z, mode="clip")
-            squash_into(a, q)
+            for d in (0, 1):
+                a[:, d] += into[d].take(columns[d][s, :k], 1, out=z, mode="clip")
+            np.clip(a, -1, 1, out=a)
+            gates = a[:3]
             gates += 1
             gates *= 0.5
             cell *= a[1]
             cell += np.multiply(a[0], a[3], out=small)
-            np.copyto(hidden, cell)
-            squash_into(hidden, small)
+            np.clip(cell, -1, 1, out=hidden)
             hidden *= a[2]
-            out[0, s], out[1, steps - 1 - s] = hidden
-        return out[0] @ p["o"][0] + out[1] @ p["o"][1] + p["b"]
+            out[:, s, :k] = hidden
+        return out[0] @ p["o"][0] + p["b"], out[1] @ p["o"][1]
+
+
+def around(texts: list[str], offsets: np.ndarray, reach: int) -> np.ndarray:
+    """For each character of the texts, whether an anchor of its text begins within so many characters."""
+    change = np.zeros(int(offsets[-1]) + 1, np.int32)
+    for text, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        at = a + np.array([m.start() for m in _ANCHOR.finditer(text)], np.int64)
+        np.add.at(change, np.maximum(at - reach, a), 1)
+        np.add.at(change, np.minimum(at + reach, b), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def stretches(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of set flags; runs end where texts do."""
+    head, tail = flags.copy(), flags.copy()
+    head[1:] &= ~flags[:-1]
+    tail[:-1] &= ~flags[1:]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    head[edges] = flags[edges]
+    tail[edges[1:] - 1] = flags[edges[1:] - 1]
+    return np.flatnonzero(head), np.flatnonzero(tail) + 1
 
 
-def window_scores(net: Tagger, codes_: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Label scores of every character of texts that stand one after the other, from overlapping windows of each."""
-    n = np.diff(offsets)
+def window_scores(net: Tagger, codes_: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Label scores of every character of the stretches, from overlapping windows of each; rows of other characters are not set."""
+    n = ends - starts
     count = np.where(n > 0, np.maximum(-(-(n - WINDOW) // STRIDE), 0) + 1, 0)
-    text = np.repeat(np.arange(len(n)), count)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    start, end = offsets[text] + number * STRIDE, offsets[text + 1]
+    of = np.repeat(np.arange(len(n)), count)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    start = starts[of] + number * STRIDE
+    end = np.minimum(ends[of], start + WINDOW)
     edge = (WINDOW - STRIDE) // 2
     # a window's own part: its middle, and the outer parts only where no window lies on that side
     low = start + np.where(number == 0, 0, edge)
-    high = np.where(number == count[text] - 1, end, start + WINDOW - edge)
+    high = np.where(number == count[of] - 1, end, start + WINDOW - edge)
     out = np.empty((len(codes_), LABELS), np.float32)
-    for i in range(0, len(text), BATCH):
-        part = slice(i, i + BATCH)
-        at = start[part, None] + np.arange(WINDOW)
-        inside = at < end[part, None]
-        scores = net.label_scores(np.where(inside, codes_[np.where(inside, at, 0)], 32)).transpose(1, 0, 2)
-        own = (at >= low[part, None]) & (at < high[part, None])
-        out[at[own]] = scores[own]
+    padded = np.append(codes_, np.full(WINDOW, 32, codes_.dtype))
+    order = np.argsort(start - end, kind="stable")  # the longest first
+    for i in range(0, len(order), BATCH):
+        some = order[i : i + BATCH]
+        there, back = net.label_scores(padded[start[some, None] + np.arange(end[some[0]] - start[some[0]])], end[some] - start[some])
+        for k, (a, b, c, d) in enumerate(zip(start[some].tolist(), low[some].tolist(), high[some].tolist(), end[some].tolist(), strict=True)):
+            out[b:c] = there[b - a : c - a, k]
+            out[b:c] += back[d - c : d - b, k][::-1]
     return out
 
 
+def text_labels(net: Tagger, texts: list[str], offsets: np.ndarray) -> np.ndarray:
+    """The labels of every character of the texts on their best paths under the constraint on anchors.
+
+    Characters that the constraint leaves outside part a path: each stretch between them stands between two outside characters.
+    """
+    scores = window_scores(net, codes("".join(texts)), *stretches(around(texts, offsets, REACH + CONTEXT), offsets))
+    near = around(texts, offsets, REACH)
+    start, end = stretches(near, offsets)
+    labels = np.zeros(len(near), np.int8)
+    labels[near] = best_path(scores[near], np.concatenate([[0], np.cumsum(end - start)]), net.p["t"])
+    return labels
+
+
 def certain(u: np.ndarray, offsets: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Characters that are outside on every best path.
 
@@ -351,14 +386,15 @@ def certain(u: np.ndarray, offsets: np.ndarray, t: np.ndarray) -> np.ndarray:
 def best_path(u: np.ndarray, offsets: np.ndarray, t: np.ndarray, skip: bool = True) -> np.ndarray:
     """The labels of the best path over each text (``offsets``: bounds of the texts), which stands between two outside characters."""
     labels = np.zeros(len(u), np.int8)
-    loose = ~certain(u, offsets, t) if skip else np.ones(len(u), bool)
-    head, tail = loose.copy(), loose.copy()
-    head[1:] &= ~loose[:-1]
-    tail[:-1] &= ~loose[1:]
-    edges = offsets[:-1][np.diff(offsets) > 0]
-    head[edges] = loose[edges]
-    tail[edges[1:] - 1] = loose[edges[1:] - 1]
-    start, length = np.flatnonzero(head), np.flatnonzero(tail) - np.flatnonzero(head) + 1
+    loose = np.ones(len(u), bool)
+    d = 0 if skip else len(offsets) - 1
+    while d < len(offsets) - 1:  # some texts at a time, whose scores stay in the processor's cache
+        e = max(d + 1, int(np.searchsorted(offsets, offsets[d] + PIECE, "right")) - 1)
+        a, b = int(offsets[d]), int(offsets[e])
+        loose[a:b] = ~certain(u[a:b], offsets[d : e + 1] - a, t)
+        d = e
+    start, end = stretches(loose, offsets)
+    length = end - start
     order = np.argsort(-length, kind="stable")
     for i in range(0, len(order), LANES):
         _search(u, start[order[i : i + LANES]], length[order[i : i + LANES]], t, labels)
@@ -369,34 +405,31 @@ def _search(u: np.ndarray, start: np.ndarray, length: np.ndarray, t: np.ndarray,
     """Put the best paths of stretches between outside characters, side by side from the longest to the shortest, into the labels."""
     entry = np.array([0, 1, 3, 5, 7])  # allowed after every label; further characters only after their kind
     into = t[:, entry, None]
-    best, back = (u[start] + t[0]).T.copy(), []
+    scores = [(u[start] + t[0]).T.copy()]
     for s in range(1, int(length[0])):
         k = int(np.searchsorted(-length, -s, "left"))  # stretches longer than s
-        before, new, choice = best[:, :k], np.empty((LABELS, k), best.dtype), np.empty((LABELS, k), np.int8)
-        value, at = before[0] + into[0], np.zeros((len(entry), k), np.int8)
+        before, new = scores[-1][:, :k], np.empty((LABELS, k), u.dtype)
+        value = before[0] + into[0]
         for p in range(1, LABELS):
-            other = before[p] + into[p]
-            np.copyto(at, p, where=other > value)
-            np.maximum(value, other, out=value)
-        new[entry], choice[entry] = value, at
+            np.maximum(value, before[p] + into[p], out=value)
+        new[entry] = value
         for first in (1, 3, 5, 7):
-            begun, gone_on = before[first] + t[first, first + 1], before[first + 1] + t[first + 1, first + 1]
-            choice[first + 1] = first + (gone_on > begun)
-            np.maximum(begun, gone_on, out=new[first + 1])
+            np.maximum(before[first] + t[first, first + 1], before[first + 1] + t[first + 1, first + 1], out=new[first + 1])
         new += u[start[:k] + s].T
         new -= new.max(0)  # scores of long texts would lose their small digits
-        best[:, :k] = new
-        back.append(choice)
-    at = (best + t[:, :1]).argmax(0)
+        scores.append(new)
+    # from the end back: the label before is looked for only where the path goes
+    at = np.zeros(len(start), np.intp)
+    after = np.zeros(len(start), np.intp)
     for s in range(int(length[0]) - 1, -1, -1):
         k = int(np.searchsorted(-length, -s, "left"))
+        at[:k] = (scores[s][:, :k] + t[:, after[:k]]).argmax(0)
         labels[start[:k] + s] = at[:k]
-        if s:
-            at[:k] = back[s - 1][at[:k], np.arange(k)]
+        after[:k] = at[:k]
 
 
 @lru_cache(1)
-def train(seed: int = 7, steps: int = 800, batch: int = 16, crop: int = 88) -> Tagger:
+def train(seed: int = 7, steps: int = 1200, batch: int = 16, crop: int = 96) -> Tagger:
     """Fit on labelled sentences made from the seed, by Adam. The same network wherever and however often it is run."""
     rng = random.Random(seed)
     net, m, v = Tagger(np.random.default_rng(seed)), {}, {}
@@ -433,7 +466,7 @@ def model_spans(texts: list[str], net: Tagger) -> list[list[tuple[int, int, int]
             size += len(texts[j])
             j += 1
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts[i:j]])]).astype(np.int64)
-        y = best_path(window_scores(net, codes("".join(texts[i:j])), offsets), offsets, net.p["t"])
+        y = text_labels(net, texts[i:j], offsets)
         heads = np.flatnonzero(y % 2 == 1)
         inside = (y > 0) & (y % 2 == 0)
         stops = np.flatnonzero(~np.append(inside, False))
@@ -462,7 +495,9 @@ _SIZES = [(0, 99), (4, 12), (14, 19), (7, 15)]
 
 
 def plausible(piece: str, kind: int) -> bool:
-    """Whether a span that the network found can be of its kind: allowed characters, number of digits, byte values, checksum."""
+    """Whether a span that the network found can be of its kind: length, an anchor, allowed characters, number of digits, byte values, checksum."""
+    if len(piece) > REACH or not _ANCHOR.search(piece):
+        return False
     digits = "".join(c for c in piece if "0" <= c <= "9")
     low, high = _SIZES[kind]
     if not (low <= len(digits) <= high and _FORMS[kind].fullmatch(piece.lower())):
@@ -488,7 +523,7 @@ def find_all(texts: list[str], net: Tagger) -> list[tuple[list, list]]:
     return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _batches(batches: Iterator[pa.RecordBatch], size: int = 1024) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
         for i in range(0, batch.num_rows, size):
             part = batch.slice(i, size)
@@ -534,8 +569,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
         for batch in batches:
             column = batch.column(at)
             texts = column.to_pylist()
-            for i in range(0, len(texts), 512):
-                some = [x or "" for x in texts[i : i + 512]]
+            for i in range(0, len(texts), 1024):
+                some = [x or "" for x in texts[i : i + 1024]]
                 for j, (base, added) in enumerate(find_all(some, tagger)):
                     spans, text, end = sorted(base + added), some[j], 0
                     if not spans:
