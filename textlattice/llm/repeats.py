@@ -42,7 +42,7 @@ HELD = 3_000_000
 #: Text bytes of a chunk, on average; a chunk is held by one task at a time.
 CHUNK_BYTES = 16 << 20
 #: Chunks that hold an anchor from which on it is heavy, and the parts that a run is then split into.
-HEAVY, SPLIT = 32, 7
+HEAVY, SPLIT = 256, 7
 NO_ID = np.iinfo(np.int64).max
 #: Chunks up to which they have labels of their own (a literal in the plan); more are many a partition, and even without.
 LABELLED = 1 << 15
