@@ -40,7 +40,7 @@ LENGTH = 50
 #: Anchors kept in a task before they are sent on: 24 MB.
 HELD = 3_000_000
 #: Text bytes of a chunk, on average; a chunk is held by one task at a time.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 #: Chunks that hold an anchor from which on it is heavy, and the parts that a run is then split into.
 HEAVY, SPLIT = 256, 7
 NO_ID = np.iinfo(np.int64).max
