@@ -74,7 +74,6 @@ def test_beam_over_tables_equals_the_model_held_whole(spark, monkeypatch, chars)
     lm = ngram.train(sents)
     whole = segment.collect_model(lm)
     texts = ["".join(rng.choices([*words, "x"], k=rng.randint(1, 7))) for _ in range(60)] + ["", "x", "the" * 40, "thecat"]
-    monkeypatch.setattr(segment, "MODEL_ROWS", 0)
     monkeypatch.setattr(segment, "BLOCK_CHARS", chars)
     got = segment.segment_beam(spark.createDataFrame([(s,) for s in [*texts, None]], "s string"), lm).collect()
     assert sorted(r["s"] for r in got) == sorted(set(texts))
@@ -83,12 +82,6 @@ def test_beam_over_tables_equals_the_model_held_whole(spark, monkeypatch, chars)
         assert r["tokens"] == tokens and r["score"] == pytest.approx(score)
 
 
-def test_no_model_size_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(segment, "MODEL_ROWS", 0)
-    for f in (catalog.editor_token_check, catalog.segment_then_spell, catalog.alert_console):
-        assert f(spark, "/root/testdata/sf0.001").columns
-
-
 def test_dp_cuts_all_merged_tokens(spark):
     d = "/root/testdata/sf0.001"
     whole = segment.collect_model(ngram.train(catalog.split(spark, d)[0]))
@@ -250,9 +243,67 @@ def test_parser_learns_its_templates(spark):
 def test_prefix_condition_is_a_prefix(spark):
     rows = spark.createDataFrame([(d, s) for d in (-5, 0, 3, 90_000) for s in range(d % 4 + 1)], "doc_id bigint, sent_id bigint")
     ordered = sorted(tuple(r) for r in rows.collect())
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     for ratio in (0.0, 0.3, 0.8, 1.0):
-        kept = sorted(tuple(r) for r in rows.where(corpus.prefix_condition(rows, ratio, 3)).collect())
-        assert kept == ordered[: int(len(ordered) * ratio)]
+        for per_step in (3, 1 << 20):
+            kept = sorted(tuple(r) for r in rows.where(corpus.prefix_condition(counts, ratio, per_step)).collect())
+            assert kept == ordered[: int(len(ordered) * ratio)]
+    assert rows.where(corpus.prefix_condition(counts.limit(0))).count() == 0
+
+
+def test_sentence_counts_are_those_of_the_sentences(spark):
+    texts = ["One. Two!  three? ", None, "", "...", " a.b. ... c! \u00e9. d", "x\u0001 y. z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made = {}
+    for r in corpus.sentences(docs).collect():
+        made.setdefault(r["doc_id"], []).append((r["sent_id"], r["text"], r["words"]))
+    assert {r["doc_id"]: r["n"] for r in corpus.sentence_counts(docs).collect()} == {d: len(s) for d, s in made.items()}
+    assert sorted(made[0]) == [(0, "One.", ["one"]), (1, "Two!", ["two"]), (2, "three?", ["three"])]
+    assert sorted(made[4]) == [(0, "a.b.", ["ab"]), (1, "c!", ["c"]), (2, "d", ["d"])]
+
+
+def test_words_are_cleaned_one_by_one(spark):
+    rng = random.Random(3)
+    for _ in range(40):
+        text = "".join(rng.choice(" \t\n\u00a0aB1\u00e9\u00d1\u0130.,'_-") for _ in range(rng.randint(0, 30)))
+        plain = [w for w in text.replace("\t", " ").replace("\n", " ").split(" ") if w]
+        assert one(spark, N.words, text) == plain
+        assert one(spark, N.clean_words, text) == [c for w in plain if (c := "".join(x for x in w if x.isascii() and x.isalnum()).lower())]
+        assert one(spark, N.alpha_words, text) == [w.lower() for w in plain if w.isalpha()]
+        assert one(spark, N.alnum_words, text) == [w.lower() for w in plain if w.isalnum()]
+
+
+def test_greedy_over_a_lexicon_of_any_size(spark):
+    rng = random.Random(4)
+    words = {"the", "cat", "cats", "sat", "he", "at", "a", "x" * 20, "x" * 21}
+    texts = ["".join(rng.choices([*words, "q"], k=rng.randint(1, 8))) for _ in range(50)] + ["", "q"]
+    lexicon = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r["s"]: r["tokens"] for r in segment.segment_greedy(spark.createDataFrame([(t,) for t in [*texts, None]], "s string"), lexicon).collect()}
+    assert got == {t: segment.greedy(t, words) for t in texts}
+
+
+def test_long_sentences_are_parsed(spark):
+    words = "she saw the dog".split() + "with the telescope".split() * 20
+    rows = spark.createDataFrame([(0, words), (1, words), (2, ["xyz"] * 300), (3, [])], "sent_id bigint, words array<string>")
+    got = {r["sent_id"]: r["logprob"] for r in pcfg.parse_sentences(rows, fixtures.grammar_frame(spark)).collect()}
+    assert got[0] is not None and got[0] == got[1] and got[2] is None and got[3] is None
+
+
+def test_editor_benchmark_reports_both_pipelines(spark):
+    from textlattice.operators import benchmark
+
+    tokens = spark.range(50).withColumnRenamed("id", "pos")
+    got = {r["pipeline"]: r for r in benchmark.report(tokens, {"A": lambda lm: tokens, "B": lambda lm: tokens}, None).collect()}
+    assert set(got) == {"A", "B"} and all(r["n_tokens"] == 50 and r["ms_per_token"] == pytest.approx(20 * r["seconds"]) for r in got.values()) and got["A"]["speedup"] == 1
+
+
+def test_live_editor_feeds_corrected_tokens_to_the_triggers(spark, toy):
+    lm = ngram.train(fixtures.toy_sentences(spark))
+    tokens = spark.createDataFrame([(0, i, t) for i, t in enumerate(["a", "cat", "sat", "the", "thecat", "ran"])], "doc_id bigint, pos bigint, token string")
+    vocab = spark.createDataFrame([(w, c) for w, c in toy.uni.items() if w in toy.vocab], "word string, n bigint")
+    found = editor.check_tokens(tokens, vocab, vocab, lm)
+    assert [tuple(r) for r in editor.trigger_windows(found).collect()] == [(0, 4, ["a", "cat", "sat", "the", "thecat"])]
+    assert {r["pos"]: r["corrected"] for r in found.collect()}[4] == "the cat"
 
 
 def test_registry(spark, tmp_path):

@@ -8,36 +8,41 @@ from pyspark.sql import functions as F
 SENTENCE_MARK = "\u0001"
 
 
-def clean_ascii(c: Column) -> Column:
-    """Drop all but ASCII letters and digits, then lower-case."""
-    return F.lower(F.regexp_replace(c, "[^a-zA-Z0-9]", ""))
+def clean_ascii(c: Column, keep: str = "") -> Column:
+    """Drop all but ASCII letters and digits, and what ``keep`` names in a character class; then lower-case."""
+    return F.lower(F.regexp_replace(c, f"[^a-zA-Z0-9{keep}]", ""))
 
 
-def clean_unicode(c: Column) -> Column:
+def clean_unicode(c: Column, keep: str = "") -> Column:
     """Drop all but letters and digits of any script, then lower-case."""
-    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    return F.lower(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{keep}]", ""))
 
 
-def clean_spanish(c: Column) -> Column:
+def clean_spanish(c: Column, keep: str = "") -> Column:
     """Lower-case first, then drop all but Spanish letters and digits."""
-    return F.regexp_replace(F.lower(c), "[^a-záéíóúüñ0-9]", "")
+    return F.regexp_replace(F.lower(c), f"[^a-záéíóúüñ0-9{keep}]", "")
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(c, r"\s+"), "")
 
 
 def clean_words(c: Column, cleaner=clean_ascii) -> Column:
-    return F.filter(F.transform(F.split(c, r"\s+"), cleaner), lambda w: w != "")
+    """The words that have something left when cleaned. White space is kept while the whole text is cleaned at once."""
+    return words(cleaner(c, r"\s"))
+
+
+def _lowered(found: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.array_join(found, " ")), " "), "")
 
 
 def alnum_words(c: Column) -> Column:
     """Words made of letters and digits only, lower-cased; a word with punctuation is dropped whole."""
-    return F.transform(F.filter(words(c), lambda w: w.rlike(r"^[\p{L}\p{N}]+$")), F.lower)
+    return _lowered(F.regexp_extract_all(c, F.lit(r"(?<!\S)[\p{L}\p{N}]+(?!\S)"), F.lit(0)))
 
 
 def alpha_words(c: Column) -> Column:
-    return F.transform(F.filter(words(c), lambda w: w.rlike(r"^\p{L}+$")), F.lower)
+    return _lowered(F.regexp_extract_all(c, F.lit(r"(?<!\S)\p{L}+(?!\S)"), F.lit(0)))
 
 
 def cli_tokens(c: Column) -> Column:
@@ -58,10 +63,14 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def sentence_parts(c: Column) -> Column:
+    """The text cut after ``. ! ?`` followed by white space."""
+    return F.split(F.regexp_replace(strip(c), r"([.!?])\s+", "$1" + SENTENCE_MARK), SENTENCE_MARK)
+
+
 def sentence_texts(c: Column) -> Column:
-    """Cut after ``. ! ?`` followed by white space; blank parts are dropped."""
-    parts = F.split(F.regexp_replace(strip(c), r"([.!?])\s+", "$1" + SENTENCE_MARK), SENTENCE_MARK)
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    """Sentences without white space around them; blank parts are dropped."""
+    return F.filter(F.transform(sentence_parts(c), strip), lambda s: s != "")
 
 
 def is_title(c: Column) -> Column:

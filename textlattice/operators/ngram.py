@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -130,3 +131,17 @@ def score_fallback(sents: DataFrame, context: float, k: float = K, v: int = 4500
     n = F.size("words").cast("double")
     each = F.ln(F.lit(k) / (F.lit(context) + F.lit(k) * F.lit(float(v))))
     return sents.select("doc_id", "sent_id", (n * each).alias("total"), each.alias("avg"))
+
+
+def cascade_bigram(sents: DataFrame, lm: CountTables | None = None, spelling: Callable[[DataFrame], DataFrame] | None = None, k: float = K) -> DataFrame:
+    """(doc_id, sent_id, total, avg) by the first model at hand: smoothed bigrams, the spelling model's scores, the constant."""
+    if lm is not None:
+        return score_smoothed(sents, lm, 2, k).select("doc_id", "sent_id", F.col("logprob").alias("total"), (F.col("logprob") / F.col("n_words")).alias("avg"))
+    return spelling(sents) if spelling is not None else score_fallback(sents, 100.0, k)
+
+
+def cascade_trigram(sents: DataFrame, lm: CountTables | None = None, backoff: CountTables | None = None, k: float = K) -> DataFrame:
+    """(doc_id, sent_id, total, avg) by the first model at hand: smoothed trigrams, the penalised back-off, the constant."""
+    if lm is not None:
+        return score_smoothed(sents, lm, 3, k).select("doc_id", "sent_id", F.col("logprob").alias("total"), (F.col("logprob") / F.col("n_words")).alias("avg"))
+    return score_trigram_q1(sents, backoff, k).select("doc_id", "sent_id", "total", "avg") if backoff is not None else score_fallback(sents, 50.0, k)

@@ -85,6 +85,9 @@ class Grammar:
             table, key = (self.words, rhs[0]) if lexical and len(rhs) == 1 else (self.unary, rhs[0]) if len(rhs) == 1 else (self.pairs, tuple(rhs)) if len(rhs) == 2 else (None, None)
             if table is not None and p > 0:
                 table.setdefault(key, []).append((lhs, math.log(p)))
+        self.after: dict[str, list] = {}
+        for (left, right), rules_ in sorted(self.pairs.items()):
+            self.after.setdefault(left, []).append((right, rules_))
 
     def close(self, cell: dict) -> None:
         """Unary rules until nothing gets better."""
@@ -99,8 +102,8 @@ class Grammar:
     def parse(self, words: list[str]) -> tuple[str, float] | None:
         """(bracketed tree, log probability) or nothing. Words are looked up as they are, else in small letters; ties: the first split, then the symbol first by name."""
         n = len(words)
-        if not n:
-            return None
+        if not n or not all(self.words.get(w) or self.words.get(w.lower()) for w in words):
+            return None  # a word that the grammar lacks has no cell, and so no tree above it
         chart: list[list[dict]] = [[{} for _ in range(n + 1)] for _ in range(n + 1)]
         for i, w in enumerate(words):
             for lhs, p in self.words.get(w) or self.words.get(w.lower(), ()):
@@ -110,10 +113,16 @@ class Grammar:
             for i in range(n - width + 1):
                 j, cell = i + width, chart[i][i + width]
                 for k in range(i + 1, j):
-                    for left in sorted(chart[i][k]):
-                        for right in sorted(chart[k][j]):
-                            for lhs, p in self.pairs.get((left, right), ()):
-                                if (score := chart[i][k][left][0] + chart[k][j][right][0] + p) > cell.get(lhs, (-math.inf,))[0]:
+                    below, beside = chart[i][k], chart[k][j]
+                    if not below or not beside:
+                        continue
+                    for left in sorted(below):
+                        for right, found in self.after.get(left, ()):
+                            if right not in beside:
+                                continue
+                            both = below[left][0] + beside[right][0]
+                            for lhs, p in found:
+                                if (score := both + p) > cell.get(lhs, (-math.inf,))[0]:
                                     cell[lhs] = (score, (k, left, right))
                 self.close(cell)
         if self.start not in chart[0][n]:
@@ -131,17 +140,23 @@ class Grammar:
         return build(0, n, self.start), chart[0][n][self.start][0]
 
 
-def parse_sentences(sents: DataFrame, found: DataFrame, start: str = "S", longest: int = 25, key: str = "sent_id") -> DataFrame:
-    """(key, tree, logprob) of (key, words) rows; null where there is no parse, or beyond ``longest`` words (the chart is cubic)."""
+def parse_sentences(sents: DataFrame, found: DataFrame, start: str = "S", *keys: str) -> DataFrame:
+    """(keys, tree, logprob) of (keys, words) rows, ``sent_id`` if no keys are named; null where there is no parse.
+
+    Sentences of any length are parsed; the chart is cubic in their words. Each distinct word sequence is parsed once.
+    """
+    keys = keys or ("sent_id",)
     grammar = sents.sparkSession.sparkContext.broadcast([(r["lhs"], list(r["rhs"]), r["is_lexical"], r["prob"]) for r in found.collect()])  # a grammar's rules
 
     def run(parts):
         g = Grammar(grammar.value, start)
         for pdf in parts:
-            best = [g.parse(list(w)) if len(w) <= longest else None for w in pdf["words"]]
-            yield pd.DataFrame({key: pdf[key], "tree": [b and b[0] for b in best], "logprob": [b and b[1] for b in best]})
+            best = [g.parse(list(w)) for w in pdf["words"]]
+            yield pd.DataFrame({"line": pdf["line"], "tree": [b and b[0] for b in best], "logprob": [b and b[1] for b in best]})
 
-    return sents.select(key, "words").mapInPandas(run, f"{key} bigint, tree string, logprob double")
+    rows = sents.select(*keys, "words", F.to_json("words").alias("line"))
+    parsed = rows.select("line", "words").dropDuplicates(["line"]).mapInPandas(run, "line string, tree string, logprob double")
+    return rows.join(parsed, "line").select(*keys, "tree", "logprob")
 
 
 def display(logprob) -> object:

@@ -16,8 +16,6 @@ from textlattice.functions import normalize as N
 from .ngram import BOS, EOS, K, CountTables
 
 LONGEST, BEAM, OOV = 20, 20, -18.0
-#: Rows of a model that is held whole, by collect_model, at most (about 200 MB); segment_beam takes CountTables of any size.
-MODEL_ROWS = 5_000_000
 #: Characters of distinct strings that are decoded together, with the model rows that they can use (one longer string is a block).
 BLOCK_CHARS = 1 << 13
 #: Rows that a kernel gives at once.
@@ -88,25 +86,34 @@ def beam(text: str, lm: TrigramModel, vocab=None, longest: int = LONGEST, width:
 
 
 def collect_model(lm: CountTables) -> TrigramModel:
-    """The counts on the driver, for small models; refused beyond MODEL_ROWS rows, where segment_beam takes the tables themselves."""
-    rows = sum(t.limit(MODEL_ROWS + 1).count() for t in (lm.uni, lm.bi, lm.tri))
-    if rows > MODEL_ROWS:
-        raise ValueError(f"the model has more than {MODEL_ROWS} rows; give segment_beam its tables")
+    """The counts on the driver, for small models and tests; ``segment_beam`` takes tables of any size as they are."""
     uni = dict(lm.uni.toPandas().itertuples(index=False))
     bi = {(a, b): c for a, b, c in lm.bi.toPandas().itertuples(index=False)}
     tri = {(a, b, c): n for a, b, c, n in lm.tri.toPandas().itertuples(index=False)}
     return TrigramModel(uni, bi, tri)
 
 
-def segment_greedy(strings: DataFrame, vocab: set[str], longest: int = LONGEST) -> DataFrame:
-    """(s, tokens) for the distinct values of column ``s``."""
-    words = strings.sparkSession.sparkContext.broadcast(vocab)
+def segment_greedy(strings: DataFrame, lexicon: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(s, tokens) for the distinct values of column ``s``.
+
+    The substrings that can be words meet the lexicon's ``word`` column in a join, so that it may have any size.
+    """
+    distinct = strings.select("s").where("s is not null").distinct()
+
+    def substrings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for at in range(0, len(pdf), 256):
+                rows = [(s, s[i : i + n]) for s in pdf["s"].iloc[at : at + 256] for i in range(len(s)) for n in range(2, min(longest, len(s) - i) + 1)]
+                yield pd.DataFrame(rows, columns=["s", "word"]).drop_duplicates()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pd.DataFrame({"s": pdf["s"], "tokens": [greedy(s, words.value, longest) for s in pdf["s"]]})
+            known = [set(w) if w is not None else set() for w in pdf["known"]]
+            yield pd.DataFrame({"s": pdf["s"], "tokens": [greedy(s, w, longest) for s, w in zip(pdf["s"], known, strict=True)]})
 
-    return strings.select("s").where("s is not null").distinct().mapInPandas(run, "s string, tokens array<string>")
+    words = distinct.mapInPandas(substrings, "s string, word string").join(lexicon.select("word").distinct(), "word")
+    known = words.groupBy("s").agg(F.collect_set("word").alias("known"))
+    return distinct.join(known, "s", "left").mapInPandas(run, "s string, tokens array<string>")
 
 
 def segment_beam(strings: DataFrame, model: TrigramModel | CountTables, longest: int = LONGEST, width: int = BEAM) -> DataFrame:

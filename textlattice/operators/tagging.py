@@ -66,13 +66,18 @@ def emission_log_probs(emit: DataFrame, k: float = K) -> DataFrame:
 
 def viterbi(words: list[str], tags: list[str], trans: np.ndarray, start: np.ndarray, emit: dict[str, np.ndarray], unknown: np.ndarray) -> tuple[list[str], float]:
     """Best tags and score; ties go to the tag first by name; there is no step to the end mark."""
-    if not len(words):
+    return best_tags([emit.get(w, unknown) for w in words], tags, trans, start)
+
+
+def best_tags(scores: list[np.ndarray], tags: list[str], trans: np.ndarray, start: np.ndarray) -> tuple[list[str], float]:
+    """``viterbi`` over the emission scores of each word."""
+    if not len(scores):
         return [], 0.0
-    score, back = start + emit.get(words[0], unknown), []
-    for w in words[1:]:
+    score, back = start + scores[0], []
+    for emitted in scores[1:]:
         into = score[:, None] + trans
         back.append(into.argmax(0))
-        score = into.max(0) + emit.get(w, unknown)
+        score = into.max(0) + emitted
     at = int(score.argmax())
     best, path = float(score[at]), [at]
     for b in reversed(back):
@@ -82,30 +87,39 @@ def viterbi(words: list[str], tags: list[str], trans: np.ndarray, start: np.ndar
 
 
 def decode(seqs: DataFrame, trans: DataFrame, emit: DataFrame, key: str = "user_id", k: float = K) -> DataFrame:
-    """(key, pos, pred_tag, best_score) of (key, words array) rows. Model matrices are tags x tags and tags x words."""
+    """(key, pos, pred_tag, best_score) of (key, words array) rows.
+
+    The driver holds tags x tags numbers and two for each tag. The words meet their counts by tag in a join, so the lexicon has no bound.
+    """
     table = transition_log_probs(trans, k).toPandas()
     tags = sorted(table["cur"].unique())
     grid = table.set_index(["prev", "cur"])["logprob"]
     matrix = np.array([[grid[a, b] for b in tags] for a in tags])
     start = np.array([grid[START, b] for b in tags])
-    rows = emission_log_probs(emit, k).toPandas()
-    at = {t: i for i, t in enumerate(tags)}
-    by_word: dict[str, np.ndarray] = {}
-    for tag, word, value in rows.itertuples(index=False):
-        by_word.setdefault(word, np.zeros(len(tags)))[at[tag]] = value
     totals = dict(emit.groupBy("tag").agg(F.sum("c")).collect())
-    unknown = np.log(np.array([k / (totals[t] + k * (len(by_word) + 1)) for t in tags]))
-    model = seqs.sparkSession.sparkContext.broadcast((tags, matrix, start, by_word, unknown))
+    types = emit.select("word").distinct().count()
+    totals = np.array([totals.get(t, 0) for t in tags], float)
+    below = np.log(totals + k * (types + 1))
+    at = {t: i for i, t in enumerate(tags)}
 
     def run(parts):
         for pdf in parts:
             out = []
-            for ident, words in zip(pdf[key], pdf["words"], strict=True):
-                found, best = viterbi(list(words), *model.value)
+            for ident, counts in zip(pdf[key], pdf["s"], strict=True):
+                scores = []
+                for row in counts:
+                    c = np.zeros(len(tags))
+                    for seen in row["seen"] if row["seen"] is not None else ():
+                        c[at[seen["tag"]]] = seen["c"]
+                    scores.append(np.log(c + k) - below)
+                found, best = best_tags(scores, tags, matrix, start)
                 out += [(ident, i, t, best) for i, t in enumerate(found)]
             yield pd.DataFrame(out, columns=[key, "pos", "pred_tag", "best_score"])
 
-    return seqs.select(key, "words").mapInPandas(run, f"{key} bigint, pos bigint, pred_tag string, best_score double")
+    seen = emit.groupBy("word").agg(F.collect_list(F.struct("tag", "c")).alias("seen"))  # as many as tags at most
+    words = seqs.select(key, F.posexplode("words").alias("pos", "word"))
+    lines = words.join(seen, "word", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "seen"))).alias("s"))
+    return lines.mapInPandas(run, f"{key} bigint, pos bigint, pred_tag string, best_score double")
 
 
 #: Tags of other sets, in small letters, and their treebank tags.

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlattice.functions import normalize as N
-from textlattice.operators import depparse, editor, ngram, passage, pcfg, segment, spelling, tagging
+from textlattice.operators import benchmark, depparse, editor, ngram, passage, pcfg, segment, spelling, tagging
 from textlattice.sources import corpus
-from textlattice.sources.tables import read_table
+from textlattice.sources.registry import Registry, export_models
+from textlattice.sources.tables import read_table, shared_folder
 from textlattice.streaming.editor_stream import editor_stream as run_editor_stream
 
 from . import fixtures
@@ -41,9 +41,12 @@ def sents(spark, d) -> DataFrame:
     return corpus.sentences(docs(spark, d, "en"))
 
 
+def _train_condition(spark, d):
+    return corpus.prefix_condition(corpus.sentence_counts(docs(spark, d, "en")))
+
+
 def split(spark, d) -> tuple[DataFrame, DataFrame]:
-    s = sents(spark, d)
-    cond = corpus.prefix_condition(s)
+    s, cond = sents(spark, d), _train_condition(spark, d)
     return s.where(cond), s.where(~cond)
 
 
@@ -79,7 +82,7 @@ def corpus_clean_es(spark, d):
 @query
 def corpus_split_80_20(spark, d):
     s = sents(spark, d)
-    return s.groupBy(F.when(corpus.prefix_condition(s), "train").otherwise("test").alias("split")).agg(F.count("*").alias("n_sents"), long(F.sum(F.size("words"))).alias("n_tokens"))
+    return s.groupBy(F.when(_train_condition(spark, d), "train").otherwise("test").alias("split")).agg(F.count("*").alias("n_sents"), long(F.sum(F.size("words"))).alias("n_tokens"))
 
 
 @query
@@ -403,13 +406,12 @@ def _merge_queries(spark, d):
 
 @query
 def segment_greedy(spark, d):
-    words = {r["word"] for r in spelling.segmentation_vocabulary(vocab(spark, d)).select("word").collect()}
-    return segment.segment_greedy(_merge_queries(spark, d), words).select("s", F.array_join("tokens", " ").alias("tokens"))
+    return segment.segment_greedy(_merge_queries(spark, d), spelling.segmentation_vocabulary(vocab(spark, d))).select("s", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query
 def segment_dp(spark, d):
-    lm = segment.collect_model(ngram.train(fixtures.toy_sentences(spark)))
+    lm = ngram.train(fixtures.toy_sentences(spark))
     strings = spark.createDataFrame([(s,) for s in fixtures.TOY_STRINGS], "s string")
     return segment.segment_beam(strings, lm).select("s", F.array_join("tokens", " ").alias("tokens"), r6("score").alias("score"))
 
@@ -545,7 +547,7 @@ def tagging_benchmark(spark, d):
     hmm = tagging.decode(lines, trans, emit).join(test, ["user_id", "pos"]).groupBy("user_id").agg(F.avg((F.col("pred_tag") == F.col("tag")).cast("double")).alias("a")).select(F.lit("hmm_accuracy").alias("metric"), F.col("a").alias("value"))
     seg = seg_metrics(spark, d).select(F.lit("typing_f1").alias("metric"), F.col("f1").alias("value"))
     out = mft.unionByName(hmm).unionByName(seg)
-    lexicon = {r["word"] for r in train.select("word").distinct().collect()}
+    lexicon = train.select("word").distinct()
     strings = lines.select(F.array_join("words", "").alias("s"))
     cuts = {"greedy": segment.segment_greedy(strings, lexicon), "dp": segment.segment_beam(strings, ngram.train(_lines(train)))}
     for name, cut in cuts.items():
@@ -665,9 +667,10 @@ def scored(spark, d):
     lm = ngram.train(train)
     bi = ngram.score_smoothed(test, lm, 2).select("doc_id", "sent_id", F.col("logprob").alias("bigram"), "n_words")
     tri = ngram.score_trigram_q1(test, lm).select("doc_id", "sent_id", F.col("total").alias("trigram"))
+    parses = pcfg.parse_sentences(test, fixtures.grammar_frame(spark), "S", "doc_id", "sent_id").select("doc_id", "sent_id", F.col("logprob").alias("pcfg"))
     texts = test.select("doc_id", "sent_id", F.col("text").alias("sentence_text"))
-    out = texts.join(bi, ["doc_id", "sent_id"]).join(tri, ["doc_id", "sent_id"])
-    return out.select("doc_id", "sent_id", "sentence_text", F.col("n_words").alias("n_tokens"), F.lit(None).cast("double").alias("pcfg"), "bigram", "trigram", F.lit(0).alias("num_merges"), F.lit(0).alias("num_spells"))
+    out = texts.join(bi, ["doc_id", "sent_id"]).join(tri, ["doc_id", "sent_id"]).join(parses, ["doc_id", "sent_id"])
+    return out.select("doc_id", "sent_id", "sentence_text", F.col("n_words").alias("n_tokens"), "pcfg", "bigram", "trigram", F.lit(0).alias("num_merges"), F.lit(0).alias("num_spells"))
 
 
 @query
@@ -692,6 +695,29 @@ def verdict_summary(spark, d):
     return passage.summary(passage.comparison_table(scored(spark, d)))
 
 
+@query
+def parsed_verdicts(spark, d):
+    """Verdicts of short sentences of which some parse under the fixture grammar, so that the rule's first tier runs."""
+    return passage.comparison_table(fixtures.scored_frame(spark, _parses(spark))).select("sent_id", "pcfg_result", "chosen_method", "final_verdict")
+
+
+@query
+def score_cascade(spark, d):
+    """Bigram and trigram scores of held-out sentences, each by the first model at hand: none for the first third of ids, one for the next."""
+    train, test = split(spark, d)
+    lm = ngram.train(train)
+    third = F.pmod(F.col("doc_id"), F.lit(3))
+    parts = []
+    for k, smoothed, backoff in ((0, None, None), (1, None, lm), (2, lm, lm)):
+        some = test.where(third == k)
+        spell = None if k == 0 else (lambda rows: _q3(spark, d, rows))
+        two = ngram.cascade_bigram(some, smoothed, spell).select("doc_id", "sent_id", F.col("total").alias("bigram_total"))
+        three = ngram.cascade_trigram(some, smoothed, backoff).select("doc_id", "sent_id", F.col("total").alias("trigram_total"))
+        parts.append(two.join(three, ["doc_id", "sent_id"]))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("doc_id", "sent_id", F.round("bigram_total", 4).alias("bigram_total"), F.round("trigram_total", 4).alias("trigram_total"))
+
+
 # -- editor
 
 
@@ -748,8 +774,7 @@ def alert_console(spark, d):
 @query
 def editor_stream(spark, d):
     """The trigger windows of ``editor_trigger`` from a stream over the same tokens, read from the shared scratch folder until it is used up."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/textlattice-checkpoints"
-    at = f"{root.rstrip('/')}/editor-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "editor")
     tokens = _as_lines(merged(spark, d).select("conv_id", "turn", F.col("token_id").alias("pos"), F.col("token").alias("corrected")))
     rows = tokens.select("doc_id", "pos", "corrected", N.clean_unicode(F.col("corrected")).alias("clean"), F.lit(None).cast("string").alias("alert_kind"))
     rows.write.parquet(f"{at}/in")
@@ -763,11 +788,91 @@ def editor_stream(spark, d):
 
 @query
 def model_roundtrip(spark, d):
-    from textlattice.sources.registry import Registry
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/textlattice-checkpoints"
-    registry = Registry(spark, f"{root.rstrip('/')}/models-{uuid.uuid4().hex}")
+    registry = Registry(spark, shared_folder(spark, "models"))
     registry.save_counts("en", ngram.train(split(spark, d)[0]))
     back = registry.load_counts("en")
     parts = [t.agg(F.lit(n).alias("table"), F.count("*").alias("rows"), F.sum("c").alias("total")) for n, t in (("uni", back.uni), ("bi", back.bi), ("tri", back.tri))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def exported_models(spark, d):
+    """Rows of each table of all models, trained and saved at once and read again."""
+    train = split(spark, d)[0]
+    found = export_models(Registry(spark, shared_folder(spark, "export")), train, spelling.alpha_stream(docs(spark, d, "en")), _halves(spark, d)[0], fixtures.trees_frame(spark))
+    parts = [spark.read.parquet(path).agg(F.lit(name).alias("table"), F.count("*").alias("rows")) for name, path in found.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query
+def conllu_files(spark, d):
+    """Tagged sentences with morphology from CoNLL-U files, one for each split."""
+    at = shared_folder(spark, "conllu")
+    for name in ("train", "dev"):
+        spark.createDataFrame([(fixtures.CONLLU,)], "value string").coalesce(1).write.option("lineSep", "").text(f"{at}/{name}")
+    found = corpus.tagged_sentences(corpus.conllu_files(spark, f"{at}/*/*.txt"), morphology=True)
+    return found.groupBy("sent_id", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags")).agg(F.count("*").alias("files"))
+
+
+@query
+def pcfg_first_trees(spark, d):
+    """The grammar of the first two trees as they are, without binary rules."""
+    found = pcfg.rules(fixtures.trees_frame(spark), cnf=False, limit=2)
+    return found.select("lhs", F.array_join("rhs", " ").alias("rhs"), "c", r6("prob").alias("prob"))
+
+
+# -- the whole editor: checks, then triggers on corrected tokens, then alerts and verdicts
+
+
+def _live(spark, d):
+    """Typed tokens with their corrections, alerts and trigger alerts, in the order of their conversation."""
+    found, train, v = checked(spark, d)
+    tokens = _as_lines(found)
+    stream = spelling.alpha_stream(docs(spark, d, "en"))
+    windows = editor.trigger_windows(tokens)
+    fired = editor.trigger_checks(windows, ngram.train(train), v, spelling.stream_bigrams(stream)).select("doc_id", "pos", F.col("alert").alias("trigger"))
+    return tokens.select("doc_id", "pos", "token", "corrected", "alert_kind").join(fired, ["doc_id", "pos"], "left")
+
+
+@query
+def editor_live(spark, d):
+    """Each typed token of the conversations: its correction, its alert and what the trigger said at it."""
+    return _live(spark, d).select(F.col("doc_id").alias("conv_id"), "pos", "token", "corrected", "alert_kind", "trigger")
+
+
+@query
+def live_alert_console(spark, d):
+    """Alerts of the whole editor by kind, grammar ones with them."""
+    kind = F.explode(F.array_compact(F.array("alert_kind", F.when(F.col("trigger").isNotNull(), "GRAMMAR")))).alias("alert_kind")
+    return _live(spark, d).select(kind).groupBy("alert_kind").agg(F.count("*").alias("n")).select("alert_kind", editor.colour(F.col("alert_kind")).alias("colour"), "n")
+
+
+@query
+def live_passages(spark, d):
+    """Verdicts of the sentences of corrected tokens, with the merges and spelling changes in them."""
+    found, train, v = checked(spark, d)
+    mark = F.when(F.col("alert_kind").isNotNull(), F.concat(F.lit("["), "alert_kind", F.lit("-ALERT]")))
+    tokens = _as_lines(found).select("doc_id", "pos", F.col("corrected").alias("token"), mark.alias("alert"))
+    sentences = passage.token_sentences(tokens).withColumn("words", N.clean_words(F.col("text")))
+    lm = ngram.train(train)
+    keys = ["doc_id", "sent_id"]
+    two = ngram.score_smoothed(sentences, lm, 2).select(*keys, F.col("logprob").alias("bigram"))
+    three = ngram.score_trigram_q1(sentences, lm).select(*keys, F.col("total").alias("trigram"))
+    parses = pcfg.parse_sentences(sentences, fixtures.grammar_frame(spark), "S", *keys).select(*keys, F.col("logprob").alias("pcfg"))
+    rows = sentences.withColumnRenamed("text", "sentence_text").join(two, keys).join(three, keys).join(parses, keys)
+    return passage.comparison_table(rows).select(*keys, "pcfg_result", "chosen_method", "final_verdict", "num_merges", "num_spells")
+
+
+@query
+def editor_benchmark(spark, d):
+    """Pipeline A (cut, then spell) and B (grammar trigger) over corrupted words: tokens, seconds, milliseconds a token, within a frame or not."""
+    v, words = vocab(spark, d), corrupt_words(spark, d).select("mutated")
+    train = split(spark, d)[0]
+    tokens = words.select(F.lit(0).cast("bigint").alias("doc_id"), F.xxhash64("mutated").alias("pos"), F.col("mutated").alias("token"))
+    return benchmark.report(tokens, {
+        "A": lambda lm: editor.check_tokens(tokens, v, v, lm, restore=False),
+        "B": lambda lm: editor.trigger_scores(tokens, lm),
+    }, ngram.train(train))

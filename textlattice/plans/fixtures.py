@@ -78,3 +78,9 @@ def grammar_frame(spark: SparkSession) -> DataFrame:
 
 def toy_sentences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, 0, s.split()) for i, s in enumerate(TOY_SENTENCES)], "doc_id bigint, sent_id bigint, words array<string>")
+
+
+def scored_frame(spark: SparkSession, parses: DataFrame) -> DataFrame:
+    """Rows of the verdict table for the sentences to parse: scores that would say ungrammatical wherever there is no parse."""
+    texts = spark.createDataFrame([(i, t, len(t.split()) or 1) for i, t in enumerate(PARSE_SENTENCES)], "sent_id bigint, sentence_text string, n_tokens int")
+    return texts.join(parses.withColumnRenamed("logprob", "pcfg"), "sent_id").selectExpr("sent_id", "sentence_text", "n_tokens", "pcfg", "-100D as bigram", "-100D as trigram", "0 as num_merges", "0 as num_spells")

@@ -1,8 +1,9 @@
 """DuckDB SQL for the registered queries.
 
 Classes: full SQL over the tables for most; literal VALUES, worked out by hand, for decoders and parsers on small
-inputs. Without SQL (rows only): arc_classifier, arc_top3, arc_parse, tagging_benchmark, segment_dp_merged,
-editor_token_check, segment_then_spell, alert_console, model_roundtrip; tests hold these against brute force.
+inputs. Without SQL (rows only): arc_classifier, arc_top3, arc_parse, tagging_benchmark, segment_dp_merged, editor_token_check,
+segment_then_spell, alert_console, editor_live, live_alert_console, live_passages, exported_models, editor_benchmark. Tests hold the
+decoders among them against enumeration on small inputs; README names those that have no such test.
 """
 
 from __future__ import annotations
@@ -309,3 +310,14 @@ ORACLES["spell_accuracy"] = sql(
     "qdels AS (SELECT DISTINCT query, left(query, i - 1) || substr(query, i + 1) AS del FROM (SELECT query, unnest(range(1, length(query) + 1)) AS i FROM asked)), candb AS (SELECT query, word AS candidate FROM qdels JOIN dels USING (del) UNION SELECT query, word FROM asked JOIN dels ON dels.del = query)",
     "rw AS (SELECT DISTINCT NULL::VARCHAR AS prev, e.mutated AS word FROM err e JOIN vocab v ON v.word = mutated WHERE mutated <> e.word), rcand AS (SELECT * FROM candb)", REAL,
 )
+ORACLES["model_roundtrip"] = sql("SELECT 'uni' AS \"table\", count(*) AS rows, sum(c)::BIGINT AS total FROM uni UNION ALL SELECT 'bi', count(*), sum(c)::BIGINT FROM bi UNION ALL SELECT 'tri', count(*), sum(c)::BIGINT FROM tri", base())
+ORACLES["score_cascade"] = sql(
+    """SELECT t.doc_id, t.sent_id, round(CASE WHEN t.doc_id % 3 = 0 THEN len(w) * ln(0.05::DOUBLE / (100 + 0.05::DOUBLE * 45000)) WHEN t.doc_id % 3 = 1 THEN s.total ELSE ng2.lp END, 4) AS bigram_total,
+      round(CASE WHEN t.doc_id % 3 = 0 THEN len(w) * ln(0.05::DOUBLE / (50 + 0.05::DOUBLE * 45000)) WHEN t.doc_id % 3 = 1 THEN q1s.total ELSE ng3.lp END, 4) AS trigram_total
+    FROM test t JOIN ng2 USING (doc_id, sent_id) JOIN ng3 USING (doc_id, sent_id) JOIN q1s USING (doc_id, sent_id) JOIN q3 s USING (doc_id, sent_id)""",
+    base(), ALPHA, """q3 AS (SELECT doc_id, sent_id, sum(ln(greatest(CASE WHEN i = 1 THEN coalesce(v0.n, 0)::DOUBLE / total ELSE (coalesce(sb.c, 0) + 1)::DOUBLE / (coalesce(v1.n, 0) + types) END, 1e-30::DOUBLE))) AS total
+      FROM (SELECT doc_id, sent_id, w, unnest(range(1, len(w) + 1)) AS i FROM test) x LEFT JOIN vocab v0 ON v0.word = w[i] LEFT JOIN vocab v1 ON v1.word = w[i - 1] AND i > 1 LEFT JOIN sb ON sb.w1 = w[i - 1] AND sb.w2 = w[i] AND i > 1, vs GROUP BY ALL)""",
+)
+ORACLES["parsed_verdicts"] = values("sent_id BIGINT, pcfg_result VARCHAR, chosen_method VARCHAR, final_verdict VARCHAR", [(0, "-3.7297", "PCFG", "Grammatical"), (1, "-6.9486", "PCFG", "Grammatical"), (2, "Unparseable", "Bigram LM", "Ungrammatical"), (3, "Unparseable", "Bigram LM", "Ungrammatical"), (4, "Unparseable", "Bigram LM", "Ungrammatical")])
+ORACLES["conllu_files"] = values("sent_id BIGINT, words VARCHAR, tags VARCHAR, files BIGINT", [(0, "the cat sat on the mat", "DET-None-None NOUN-Masc-Sing VERB-None-Sing ADP-None-None DET-None-None NOUN-None-Sing", 2), (1, "a b c d", "X-None-None X-Fem-Plur X-None-None X-None-None", 2)])
+ORACLES["pcfg_first_trees"] = values("lhs VARCHAR, rhs VARCHAR, c BIGINT, prob DOUBLE", [("S", "NP VP", 2, 1.0), ("NP", "PRP", 2, 0.5), ("NP", "DT NN", 2, 0.5), ("VP", "VB NP", 2, 1.0), ("PRP", "she", 1, 0.5), ("PRP", "her", 1, 0.5), ("VB", "saw", 2, 1.0), ("DT", "the", 2, 1.0), ("NN", "dog", 1, 0.5), ("NN", "man", 1, 0.5)])

@@ -2,48 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlattice.functions import normalize as N
 
 
+def _worded(text: Column) -> Column:
+    """The parts of a text that have a clean word, which is to say an ASCII letter or digit."""
+    return F.filter(N.sentence_parts(text), lambda s: s.rlike("[a-zA-Z0-9]"))
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_id, text, words): sentences with at least one clean word, numbered from 0 in their document."""
-    records = F.transform(N.sentence_texts(F.col("text")), lambda s: F.struct(s.alias("text"), N.clean_words(s).alias("words")))
-    kept = F.filter(records, lambda r: F.size(r["words"]) > 0)
-    return docs.select("doc_id", F.posexplode(kept).alias("sent_id", "s")).select("doc_id", F.col("sent_id").cast("bigint"), "s.text", "s.words")
+    cut = docs.select("doc_id", F.posexplode(_worded(F.col("text"))).alias("sent_id", "s"))
+    return cut.select("doc_id", F.col("sent_id").cast("bigint"), N.strip(F.col("s")).alias("text"), N.clean_words(F.col("s")).alias("words"))
+
+
+def sentence_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n): sentences of each document; none are made for it."""
+    return docs.select("doc_id", F.size(_worded(F.col("text"))).cast("bigint").alias("n")).where("n > 0")
 
 
 def english(docs: DataFrame) -> DataFrame:
     return docs.where("lang = 'en'")
 
 
-def prefix_condition(sents: DataFrame, ratio: float = 0.8, per_step: int = 4096) -> Column:
-    """A condition that holds for the first int(n * ratio) sentences in (doc_id, sent_id) order.
+def prefix_condition(counts: DataFrame, ratio: float = 0.8, per_step: int = 1 << 16) -> Column:
+    """A condition that holds for the first int(n * ratio) sentences in (doc_id, sent_id) order, from (doc_id, n) counts.
 
-    No global sort: the cut is found by counting in ever finer ranges of doc_id, at most ``per_step`` counts a step
-    come back, and the result is a comparison with two constants.
+    No global sort: the cut is found by summing counts over ranges of doc_id, at most ``per_step`` sums a step come
+    back, and the result is a comparison with two constants. Ids that lie close together need one pass over the
+    texts; the bounds come from the ids alone, and any further pass reads one range of ids only.
     """
-    total, low, high = sents.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    left = int(total * ratio)
-    if not left:
-        return F.lit(False)
-    while True:
+    low, high = counts.agg(F.min("doc_id"), F.max("doc_id")).first()
+    left = None
+    while low is not None:
         width = max(1, -(-(high - low + 1) // per_step))
-        counts = sents.where(F.col("doc_id").between(low, high)).groupBy(F.floor((F.col("doc_id") - low) / width).cast("bigint").alias("b")).count().orderBy("b").collect()
-        for row in counts:
-            if left <= row["count"]:
-                low = low + row["b"] * width
+        ranges = F.floor((F.col("doc_id") - low) / width).cast("bigint")
+        sums = counts.where(F.col("doc_id").between(low, high)).groupBy(ranges.alias("b")).agg(F.sum("n").alias("n")).collect()
+        if left is None:
+            left = int(sum(r["n"] for r in sums) * ratio)
+        if not left:
+            break
+        for row in sorted(sums):
+            if left <= row["n"]:
+                low += row["b"] * width
                 high = low + width - 1
                 break
-            left -= row["count"]
+            left -= row["n"]
         if width == 1:
             return (F.col("doc_id") < low) | ((F.col("doc_id") == low) & (F.col("sent_id") < left))
+    return F.lit(False)
 
 
 def conllu(text: DataFrame) -> DataFrame:
-    """(sent_id, id, form, upos, head, deprel) from whole CoNLL-U files, one per row (``text`` column, ``file`` key).
+    """(file, sent_id, id, form, upos, head, deprel, feats) from whole CoNLL-U files, one per row (``text`` column, ``file`` key).
 
     Comments, ranges and empty nodes are skipped; a blank line ends a sentence; the last needs none.
     """
@@ -54,6 +68,20 @@ def conllu(text: DataFrame) -> DataFrame:
     return cells.select("file", F.col("sent_id").cast("bigint"), c[0].cast("int").alias("id"), c[1].alias("form"), c[3].alias("upos"), F.expr("try_cast(c[6] as int)").alias("head"), c[7].alias("deprel"), c[5].alias("feats"))
 
 
+def conllu_files(spark: SparkSession, path: str) -> DataFrame:
+    """The tokens of all CoNLL-U files under a path (a file, a folder or a pattern), each file by its name."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
+    return conllu(files)
+
+
+def tagged_sentences(tokens: DataFrame, morphology: bool = False) -> DataFrame:
+    """(file, sent_id, words, tags) of CoNLL-U tokens without punctuation; ``morphology``: tags with gender and number."""
+    tag = morph_tag(F.col("upos"), F.col("feats")) if morphology else F.col("upos")
+    kept = tokens.where("upos <> 'PUNCT'").select("file", "sent_id", "id", N.clean_spanish(F.col("form")).alias("word"), tag.alias("tag")).where("word <> ''")
+    line = kept.groupBy("file", "sent_id").agg(F.array_sort(F.collect_list(F.struct("id", "word", "tag"))).alias("s"))
+    return line.select("file", "sent_id", F.col("s.word").alias("words"), F.col("s.tag").alias("tags"))
+
+
 def morph_tag(upos: Column, feats: Column) -> Column:
     """``UPOS-Gender-Number``, with ``None`` for what is absent."""
     def of(name):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from textlattice.operators import ngram, pcfg, spelling, tagging
 from textlattice.operators.ngram import CountTables
 
 
@@ -42,3 +43,23 @@ class Registry:
                 continue
         self.save_counts(models[0], train())
         return self.load_counts(models[0])
+
+
+def export_models(registry: Registry, sents: DataFrame, stream: DataFrame, tagged: DataFrame, trees: DataFrame) -> dict[str, str]:
+    """Train and save every model: language model, spelling, both taggers, grammar. The paths of their tables by name.
+
+    ``sents``: (words) sentences; ``stream``: (words) alphabetic words; ``tagged``: (user_id, pos, word, tag); ``trees``: (tree_id, bracketed).
+    """
+    lm, vocab = ngram.train(sents), spelling.vocabulary(stream)
+    mft, modal = tagging.train_mft(tagged)
+    models = {
+        "lm": {"uni": lm.uni, "bi": lm.bi, "tri": lm.tri},
+        "spelling": {"vocab": vocab, "bigrams": spelling.stream_bigrams(stream), "deletions": spelling.deletions(vocab)},
+        "segmentation": {"lexicon": spelling.segmentation_vocabulary(vocab)},
+        "mft": {"words": mft, "modal": modal},
+        "hmm": {"transitions": tagging.transitions(tagged), "emissions": tagging.emissions(tagged)},
+        "grammar": {"rules": pcfg.rules(trees)},
+    }
+    for model, tables in models.items():
+        registry.save(model, tables)
+    return {f"{model}/{name}": f"{registry.root}/{model}/{name}" for model, tables in models.items() for name in tables}
