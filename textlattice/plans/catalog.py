@@ -812,7 +812,7 @@ def conllu_files(spark, d):
     """Tagged sentences with morphology from CoNLL-U files, one for each split."""
     at = shared_folder(spark, "conllu")
     for name in ("train", "dev"):
-        spark.createDataFrame([(fixtures.CONLLU,)], "value string").coalesce(1).write.option("lineSep", "").text(f"{at}/{name}")
+        spark.createDataFrame([(fixtures.CONLLU,)], "value string").coalesce(1).write.text(f"{at}/{name}")
     found = corpus.tagged_sentences(corpus.conllu_files(spark, f"{at}/*/*.txt"), morphology=True)
     return found.groupBy("sent_id", F.array_join("words", " ").alias("words"), F.array_join("tags", " ").alias("tags")).agg(F.count("*").alias("files"))
 
@@ -827,10 +827,17 @@ def pcfg_first_trees(spark, d):
 # -- the whole editor: checks, then triggers on corrected tokens, then alerts and verdicts
 
 
+def _written(df, name) -> DataFrame:
+    """The rows as a table in the shared folder, so that what is read several times is computed once and outlives executors."""
+    at = shared_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _live(spark, d):
     """Typed tokens with their corrections, alerts and trigger alerts, in the order of their conversation."""
     found, train, v = checked(spark, d)
-    tokens = _as_lines(found)
+    tokens = _written(_as_lines(found), "live")
     stream = spelling.alpha_stream(docs(spark, d, "en"))
     windows = editor.trigger_windows(tokens)
     fired = editor.trigger_checks(windows, ngram.train(train), v, spelling.stream_bigrams(stream)).select("doc_id", "pos", F.col("alert").alias("trigger"))
@@ -856,7 +863,7 @@ def live_passages(spark, d):
     found, train, v = checked(spark, d)
     mark = F.when(F.col("alert_kind").isNotNull(), F.concat(F.lit("["), "alert_kind", F.lit("-ALERT]")))
     tokens = _as_lines(found).select("doc_id", "pos", F.col("corrected").alias("token"), mark.alias("alert"))
-    sentences = passage.token_sentences(tokens).withColumn("words", N.clean_words(F.col("text")))
+    sentences = _written(passage.token_sentences(tokens).withColumn("words", N.clean_words(F.col("text"))), "sentences")
     lm = ngram.train(train)
     keys = ["doc_id", "sent_id"]
     two = ngram.score_smoothed(sentences, lm, 2).select(*keys, F.col("logprob").alias("bigram"))
