@@ -6,7 +6,6 @@ buffers. Blocks hold a bounded number of bytes, or a single longer document.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlattice.sources.tables import shared_folder
+
 #: Text bytes that are worked on at once; numpy temporaries take about 60 bytes for each.
 BLOCK_BYTES = 1 << 20
 
@@ -36,15 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the cluster's shared checkpoint folder; a local default only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/textlattice-checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder: it outlives executors, unlike local blocks."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
