@@ -333,3 +333,40 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_best_candidates_and_context_without_pairs(spark):
+    """The best candidate by deletion key is that of all pairs, and the context rule is that of all options; no plan makes the pairs."""
+    rnd = random.Random(7)
+    words = sorted({"".join(rnd.choice("abé") for _ in range(rnd.randint(1, 4))) for _ in range(60)})
+    n = {w: rnd.randint(1, 4) for w in words}
+    vocab = spark.createDataFrame(list(n.items()), "word string, n bigint")
+    asked = sorted({"".join(rnd.choice("abéc") for _ in range(rnd.randint(1, 5))) for _ in range(60)})
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    options = {}
+    for pairs, best in ((spelling.candidates_a, spelling.best_a), (spelling.candidates_b, spelling.best_b)):
+        options = {}
+        for q, c in pairs(queries, vocab).collect():
+            options.setdefault(q, []).append(c)
+        assert {r["query"]: r["best"]["candidate"] for r in best(queries, vocab).collect()} == {q: min(cs, key=lambda w: (-n[w], w)) for q, cs in options.items()}
+        got = dict(spelling.correct_non_word(queries, vocab, best).collect())
+        assert got == dict(spelling.correct_non_word(queries, vocab, pairs(queries, vocab)).collect())
+    seen = {(a, b): rnd.randint(1, 5) for a in words[:6] for b in rnd.sample(words, 25)}
+    bigrams = spark.createDataFrame([(*k, c) for k, c in seen.items()], "w1 string, w2 string, c bigint")
+    rows = spark.createDataFrame([(p, q) for p in [None, "zz", *words[:6]] for q in asked], "prev string, word string")
+    total, types = sum(n.values()), len(n)
+    changed = 0
+    for p, q, found in spelling.correct_real_word(rows, vocab, bigrams).select("prev", "word", "correction").collect():
+        prob = {c: n.get(c, 0) / total if p is None else (seen.get((p, c), 0) + 1) / (n.get(p, 0) + types) for c in [*options.get(q, []), q]}
+        top = min(prob, key=lambda c: (-prob[c], c))
+        assert found == (top if prob[top] > 1.5 * prob[q] else q), (p, q)
+        changed += found != q
+    assert changed > 20
+    assert "levenshtein" not in spelling.candidates_a(queries, vocab)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grams_of_long_lines_make_their_padding_once(spark):
+    line = spark.createDataFrame([(0, 0, ["a", "b", "c"]), (0, 1, ["a"])], "doc_id bigint, sent_id bigint, words array<string>")
+    assert sorted(tuple(r) for r in ngram.count_grams(line, 3).collect()) == sorted([("<BOS>", "<BOS>", "a", 2), ("<BOS>", "a", "b", 1), ("a", "b", "c", 1), ("b", "c", "<EOS>", 1), ("<BOS>", "a", "<EOS>", 1)])
+    for plan in (ngram.count_grams(line, 3), ngram.sentence_grams(line, 3), tagging.transitions(spark.createDataFrame([(1, 0, "w", "t")], "user_id bigint, pos bigint, word string, tag string"))):
+        assert "lambda" not in plan._jdf.queryExecution().optimizedPlan().toString().replace("lambda s_", "").lower() or "sequence(" not in plan._jdf.queryExecution().optimizedPlan().toString()
