@@ -370,3 +370,20 @@ def test_grams_of_long_lines_make_their_padding_once(spark):
     assert sorted(tuple(r) for r in ngram.count_grams(line, 3).collect()) == sorted([("<BOS>", "<BOS>", "a", 2), ("<BOS>", "a", "b", 1), ("a", "b", "c", 1), ("b", "c", "<EOS>", 1), ("<BOS>", "a", "<EOS>", 1)])
     for plan in (ngram.count_grams(line, 3), ngram.sentence_grams(line, 3), tagging.transitions(spark.createDataFrame([(1, 0, "w", "t")], "user_id bigint, pos bigint, word string, tag string"))):
         assert "lambda" not in plan._jdf.queryExecution().optimizedPlan().toString().replace("lambda s_", "").lower() or "sequence(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decode_takes_logarithms_as_sql_does(spark):
+    """Scores are bit for bit those of quotients' logarithms, added in SQL's order."""
+    seq = spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "b", "y"), (1, 2, "a", "y"), (2, 0, "b", "x"), (2, 1, "a", "x"), (3, 0, "c", "y")], "user_id bigint, pos bigint, word string, tag string")
+    lines = spark.createDataFrame([(i, list(w)) for i, w in enumerate(["ab", "ba", "acb", "aab", "cba", "bbb", "zab"])], "user_id bigint, words array<string>")
+    trans = {(a, b): c for a, b, c in tagging.transitions(seq).collect()}
+    emit, k, tags = {(t, w): c for t, w, c in tagging.emissions(seq).collect()}, tagging.K, ["x", "y"]
+    into = {a: sum(c for (_, b), c in trans.items() if b == a) for a in tags}
+    step = {(a, b): math.log((trans.get((a, b), 0) + k) / (into.get(a, 0) + k * 2)) for a in [*tags, tagging.START] for b in tags}
+    out = {(t, w): math.log((emit.get((t, w), 0) + k) / (sum(c for (u, _), c in emit.items() if u == t) + k * 4)) for t in tags for w in "abcz"}
+    got = {r["user_id"]: r["best_score"] for r in tagging.decode(lines, tagging.transitions(seq), tagging.emissions(seq)).collect()}
+    for i, words in lines.collect():
+        score = {t: step[tagging.START, t] + out[t, words[0]] for t in tags}
+        for w in words[1:]:
+            score = {t: max(score[a] + step[a, t] for a in tags) + out[t, w] for t in tags}
+        assert got[i] == max(score.values())
