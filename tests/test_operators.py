@@ -375,7 +375,7 @@ def test_grams_of_long_lines_make_their_padding_once(spark):
 def test_decode_takes_logarithms_as_sql_does(spark):
     """Scores are bit for bit those of quotients' logarithms, added in SQL's order."""
     seq = spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "b", "y"), (1, 2, "a", "y"), (2, 0, "b", "x"), (2, 1, "a", "x"), (3, 0, "c", "y")], "user_id bigint, pos bigint, word string, tag string")
-    lines = spark.createDataFrame([(i, list(w)) for i, w in enumerate(["ab", "ba", "acb", "aab", "cba", "bbb", "zab"])], "user_id bigint, words array<string>")
+    lines = spark.createDataFrame([(i, list(w)) for i, w in enumerate(["ab", "acb", "cba", "zab", *("aab" * n for n in range(4, 40))])], "user_id bigint, words array<string>")
     trans = {(a, b): c for a, b, c in tagging.transitions(seq).collect()}
     emit, k, tags = {(t, w): c for t, w, c in tagging.emissions(seq).collect()}, tagging.K, ["x", "y"]
     into = {a: sum(c for (_, b), c in trans.items() if b == a) for a in tags}
