@@ -387,3 +387,32 @@ def test_decode_takes_logarithms_as_sql_does(spark):
         for w in words[1:]:
             score = {t: max(score[a] + step[a, t] for a in tags) + out[t, w] for t in tags}
         assert got[i] == max(score.values())
+
+
+def test_sentence_words_are_the_sentences_of_the_expressions(spark):
+    texts = ["", " ", None, "One.  Two! three?\n\nFour", "a\u0001b. c", "É. caf\u00e9 İstanbul x_y Z9!", "end. \u0085", "end \n\u2028", " \u2029", "x \u2028 ", "\x0bA.\x0cB?\rC.\u00a0D", "!!! ... ?", "no stop", "a.b. c .d", "q.\u0001 r", "tail.\r\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = sorted(corpus.sentences(docs).select("doc_id", "sent_id", "text", "words").collect())
+    assert sorted(corpus.sentence_words(docs, text=True).select("doc_id", "sent_id", "text", "words").collect()) == want
+    assert sorted(corpus.sentence_words(docs).collect()) == [(r["doc_id"], r["sent_id"], r["words"]) for r in want]
+
+
+def test_counts_of_what_is_asked_need_no_whole_table(spark):
+    lm = ngram.train(fixtures.toy_sentences(spark))
+    asked = spark.createDataFrame([("the", "cat", "sat"), ("the", "cat", "sat"), ("<BOS>", "<BOS>", "a"), ("x", "cat", "ran"), ("cat", "sat", "<EOS>"), ("x", "y", "z")], "w_prev2 string, w_prev1 string, w string")
+    saved = ngram.CountTables(lm.uni, lm.bi, lm.tri)
+    want = sorted(ngram.trigram_log_prob(asked, saved).collect())
+    got = ngram.trigram_log_prob(asked, ngram.CountTables(lm.uni, None, None, lm.sents))  # bigrams and trigrams are counted with what is asked
+    assert sorted(got.collect()) == want and len(want) == 5
+    assert lm.of(asked, 3).where("c > 0").count() == 3
+    sents = spark.createDataFrame([(0, 0, ["the", "cat", "flew"]), (0, 1, ["cats"])], "doc_id bigint, sent_id bigint, words array<string>")
+    both = {r["sent_id"]: (r["n_words"], round(r["bigram"], 9), round(r["trigram"], 9)) for r in ngram.score_both(sents, lm).collect()}
+    two, three = ngram.score_smoothed(sents, saved, 2).collect(), {r["sent_id"]: r["total"] for r in ngram.score_trigram_q1(sents, saved).collect()}
+    assert both == {r["sent_id"]: (r["n_words"], round(r["logprob"], 9), round(three[r["sent_id"]], 9)) for r in two}
+
+
+def test_sentences_with_unknown_words_are_not_dealt_to_the_parser(spark):
+    rows = spark.createDataFrame([(0, "she saw the dog".split()), (1, ["She", "SAW", "the", "xyz"]), (2, []), (2, ["saw", "she"]), (3, None)], "sent_id bigint, words array<string>")
+    grammar = fixtures.grammar_frame(spark)
+    assert {r["sent_id"] for r in pcfg.found_parses(rows, grammar).collect()} == {0, 2}
+    assert sorted((r["sent_id"], r["tree"] is not None) for r in pcfg.parse_sentences(rows, grammar).collect()) == [(0, True), (1, False), (2, False), (2, False), (3, False)]
