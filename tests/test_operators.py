@@ -416,3 +416,13 @@ def test_sentences_with_unknown_words_are_not_dealt_to_the_parser(spark):
     grammar = fixtures.grammar_frame(spark)
     assert {r["sent_id"] for r in pcfg.found_parses(rows, grammar).collect()} == {0, 2}
     assert sorted((r["sent_id"], r["tree"] is not None) for r in pcfg.parse_sentences(rows, grammar).collect()) == [(0, True), (1, False), (2, False), (2, False), (3, False)]
+
+
+def test_alpha_stream_is_that_of_the_expressions(spark):
+    texts = ["", None, "The cat's CAT, sat\x0bOn \x1c x\x1cy \u00a0 a\u00a0b", "É café İstanbul ½ x² 1a ß ÀÉ \u0149", "ΣΑΣ слово Ok", "“quoted” it’s plain", "日本 two", " A\tb\r\nC "] + ["word " * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = docs.where("text is not null").select("doc_id", N.alpha_words(F.col("text")).alias("words"))
+    got = spelling.alpha_stream(docs)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and got.count() == len(texts)
+    assert sorted(got.where("doc_id <> 1").collect()) == sorted(want.collect())
+    assert spelling._alpha("plain É text") is not None and spelling._alpha("слово") is None  # which way a text takes
