@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -426,3 +427,13 @@ def test_alpha_stream_is_that_of_the_expressions(spark):
     assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and got.count() == len(texts)
     assert sorted(got.where("doc_id <> 1").collect()) == sorted(want.collect())
     assert spelling._alpha("plain É text") is not None and spelling._alpha("слово") is None  # which way a text takes
+
+
+def test_words_of_long_turns_are_cut_once(spark, tmp_path):
+    rows = [(1, 0, "Hi there, you!"), (1, 1, ""), (1, 2, None), (2, 0, "..."), (3, 0, "Word " * 40_000)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    began = time.time()
+    got = sorted(catalog._conversation_words(spark, str(tmp_path)).collect(), key=lambda r: r[:3])
+    assert time.time() - began < 60  # the turn of 40,000 words took its square before
+    assert [tuple(r) for r in got[:8]] == [(1, 0, 0, "Hi", "hi", None), (1, 0, 1, "there", "there", "hi"), (1, 0, 2, ",", ",", "there"), (1, 0, 3, "you", "you", ","), (1, 0, 4, "!", "!", "you"), (2, 0, 0, ".", ".", None), (2, 0, 1, ".", ".", "."), (2, 0, 2, ".", ".", ".")]
+    assert len(got) == 8 + 40_000 and tuple(got[-1]) == (3, 0, 39_999, "Word", "word", "word")
