@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlattice.functions import normalize as N
-from textlattice.operators import depparse, editor, ngram, passage, pcfg, segment, spelling, tagging
+from textlattice.operators import depparse, editor, gramkeys, ngram, passage, pcfg, segment, spelling, tagging
 from textlattice.plans import catalog, fixtures
 from textlattice.sources import corpus
 from textlattice.sources.registry import Registry
@@ -437,3 +437,64 @@ def test_words_of_long_turns_are_cut_once(spark, tmp_path):
     assert time.time() - began < 60  # the turn of 40,000 words took its square before
     assert [tuple(r) for r in got[:8]] == [(1, 0, 0, "Hi", "hi", None), (1, 0, 1, "there", "there", "hi"), (1, 0, 2, ",", ",", "there"), (1, 0, 3, "you", "you", ","), (1, 0, 4, "!", "!", "you"), (2, 0, 0, ".", ".", None), (2, 0, 1, ".", ".", "."), (2, 0, 2, ".", ".", ".")]
     assert len(got) == 8 + 40_000 and tuple(got[-1]) == (3, 0, 39_999, "Word", "word", "word")
+
+
+def test_training_ngrams_that_nobody_asks_for_are_not_sent(spark):
+    rng = random.Random(5)
+    words = ["the", "cat", "", "\x01", "a b", "é", None, *(f"w{i}" for i in range(400))]
+    lines = [rng.choices(words, k=rng.randint(0, 9)) for _ in range(800)] + [[], None]
+    sents = spark.createDataFrame([(x,) for x in lines], "words array<string>")
+    one = {(r["w"],): r["c"] for r in ngram.count_grams(sents, 1).where("w is not null").collect()}
+    assert {(r["w"],): r["c"] for r in gramkeys.count_words(sents).collect()} == one
+    for n in (2, 3):
+        table = ngram.count_grams(sents, n).dropna()
+        want = {tuple(r)[:n]: r["c"] for r in table.collect()}
+        asked = [*rng.sample(sorted(want), 50), *[("no", "such", "gram")[:n]] * 2]
+        asked_keys = gramkeys.keyed(spark.createDataFrame([(*g, 0) for g in asked], ", ".join(f"w{i} string" for i in range(n)) + ", c bigint"), n)
+        sieve = gramkeys.sieve(asked_keys, len(asked), 64)
+        sent = gramkeys.count_asked(sents, n, sieve).groupBy("k1", "k2").sum("c").toDF("k1", "k2", "c")
+        assert 50 <= sent.count() < 60 < len(want) / 10
+        # by the tables, as of a model that was loaded, the same
+        assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, gramkeys.keyed(table, n, sieve).collect()))
+        got = sorted(r["c"] for r in asked_keys.drop("c").join(sent, ["k1", "k2"]).collect())
+        assert got == sorted(want[g] for g in asked if g in want)
+
+
+def test_marked_texts_hold_the_training_sentences(spark):
+    texts = ["One two. Three!  four?\n\nFive", " .  a\x01b.  c", "é. ê!", "", None, "A.b c.\x85 D \x02e", "x. y. z. ", "\x01\x01q"] * 3
+    docs = spark.createDataFrame([(i - 4 if i % 7 else 3, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    made = corpus.marked(docs)
+    s = corpus.sentence_words(docs)
+    counts = s.groupBy("doc_id").agg(F.count("*").alias("n"))
+    for ratio in (0.0, 0.3, 0.5, 0.8, 1.0):
+        want = sorted(r["words"] for r in s.where(corpus.prefix_condition(counts, ratio)).collect())
+        assert sorted(line.split(" ") for r in corpus.marked_prefix(made, ratio).collect() for line in r["marked"].split("\x01")) == want
+
+
+def test_merged_words_are_those_of_the_expressions(spark):
+    rng = random.Random(6)
+    turns = [(i if i % 5 else None, i % 3, " \t\n".join(rng.choices(["The", "ca.t", "É", "a\x01b", "c\x02d", " x", "\x01", "9"], k=rng.randint(0, 30)))) for i in range(60)] + [(1, 1, None), (2, None, " ")]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn int, text string")
+    made = df.select(F.explode(segment.typing_merges(N.words(F.col("text")), F.col("conv_id"), F.col("turn"))).alias("x")).where("x.n_words > 1")
+    want = made.select(N.clean_ascii(F.col("x.token")).alias("s")).where("s <> ''").distinct()
+    assert sorted(map(tuple, segment.merged_words(df, "conv_id", "turn").collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_what_follows_a_state_is_valued_as_by_log_prob(toy):
+    for before in ("<BOS>", "the", "cat", "zz"):
+        for last in ("<BOS>", "the", "cats", "a", "zz"):
+            counts, n, less, unseen = toy.after(before, last)
+            for w in ("the", "cat", "sat", "ran", "zz"):
+                value = unseen if w not in counts else math.log((counts[w] + toy.k) / n) - less
+                assert value == pytest.approx(toy.log_prob(w, before, last), abs=1e-12)
+
+
+def test_beam_over_loaded_tables_equals_the_model_held_whole(spark):
+    # tables of a registry come without their sentences, and need not agree with each other
+    uni = spark.createDataFrame([("a", 3), ("b", 2), ("ab", 1), ("<BOS>", 4), ("<EOS>", 2)], "w string, c bigint")
+    bi = spark.createDataFrame([("<BOS>", "<BOS>", 2), ("<BOS>", "a", 2), ("a", "b", 1)], "w1 string, w2 string, c bigint")
+    tri = spark.createDataFrame([("<BOS>", "<BOS>", "ab", 2), ("a", "b", "a", 3), ("<BOS>", "a", "ab", 1)], "w1 string, w2 string, w3 string, c bigint")
+    lm = ngram.CountTables(uni, bi, tri)
+    whole, texts = segment.collect_model(lm), ["abab", "aab", "ba", "xab", "", "abaab"]
+    got = segment.segment_beam(spark.createDataFrame([(s,) for s in texts], "s string"), lm).collect()
+    assert sorted((r["s"], r["tokens"], round(r["score"], 9)) for r in got) == sorted((s, t, round(x, 9)) for s in texts for t, x in [segment.beam(s, whole) if s else ([], 0.0)])
